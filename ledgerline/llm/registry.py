@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, huffman, packing
+from . import byte_bpe, fingerprints, huffman, packing, quality_rules
 from .common import scratch, table
 
 
@@ -13,6 +13,11 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -23,11 +28,17 @@ def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, path)
 
 
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_retrieval_packing": op1_retrieval_packing,
+        "op4_divergence_rules": op4_divergence_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op8_huffman_ids": op8_huffman_ids,
+        "op9_bottom_k": op9_bottom_k,
     }
 
 
