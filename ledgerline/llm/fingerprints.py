@@ -66,8 +66,8 @@ def _following_heads(rows: DataFrame) -> DataFrame:
     """For every span of ids: the first row (largest id, then largest text) of the next lower span
     that has rows, after the lowest that of the highest. Spans are linked within larger ones and
     these among themselves, so a single task sees one row for a million ids at most."""
-    heads = rows.groupBy("span").agg(F.max(F.struct("doc_id", "text", "sketch")).alias("head")).withColumn("wide", F.floor(F.col("span") / SPANS))
-    spans = heads.select("span", "wide")
+    spans = rows.groupBy("span").agg(F.expr(f"first(span div {SPANS})").alias("wide"))
+    heads = rows.where("is_head").select("span", F.struct("text", "sketch").alias("head"))
     inner = Window.partitionBy("wide").orderBy(F.desc("span"))
     spans = spans.withColumn("next_span", F.lead("span").over(inner))
     wide = spans.groupBy("wide").agg(F.max("span").alias("first"))
@@ -81,12 +81,12 @@ def edited_likeness(docs: DataFrame, k: int = K) -> DataFrame:
     """Per document: its sketch, that of its edited text (its last third replaced by the beginning of
     the next document in descending id), and the likeness of its sketch to that and to the next one's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_sketch(rows, "text", "sketch", k).withColumn("span", F.floor(F.coalesce("doc_id", F.lit(0)) / SPAN))
+    rows = with_sketch(rows, "text", "sketch", k).withColumn("span", F.expr(f"coalesce(doc_id, 0) div {SPAN}"))
     order = Window.partitionBy("span").orderBy(F.desc("doc_id"), F.desc("text"))
-    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
-    rows = rows.join(_following_heads(rows.select("span", "doc_id", "text", "sketch")), "span")
+    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).withColumn("is_head", F.lag(F.lit(1)).over(order).isNull())
+    rows = rows.join(_following_heads(rows), "span")
     rows = rows.withColumn("next", F.coalesce("next", F.struct("head.text", "head.sketch"))).drop("head", "span")
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("moved", F.floor(F.col("n_chars") / 3).cast("int"))
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("moved", F.expr("cast(n_chars div 3 as int)"))
     rows = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - moved), left(next.text, moved))"))
     rows = rows.withColumn("next_sketch", F.col("next.sketch")).drop("next", "text")
     rows = with_sketch(rows, "edited", "edited_sketch", k)
