@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, huffman, packing, quality_rules
+from . import byte_bpe, fingerprints, html_text, huffman, packing, quality_rules, secret_scan
 from .common import scratch, table
 
 
@@ -13,6 +13,10 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -32,13 +36,20 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
 def queries() -> dict:
     return {
         "op1_retrieval_packing": op1_retrieval_packing,
+        "op2_site_style_tree": op2_site_style_tree,
         "op4_divergence_rules": op4_divergence_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op8_huffman_ids": op8_huffman_ids,
         "op9_bottom_k": op9_bottom_k,
+        "op10_markov_secrets": op10_markov_secrets,
     }
 
 
