@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, html_text, huffman, packing, quality_rules, secret_scan
+from . import byte_bpe, fingerprints, html_text, huffman, jaccard_join, packing, quality_rules, secret_scan
 from .common import scratch, table
 
 
@@ -26,6 +26,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), n=3, num=90)
+
+
 def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-file")
     huffman.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -47,6 +51,7 @@ def queries() -> dict:
         "op2_site_style_tree": op2_site_style_tree,
         "op4_divergence_rules": op4_divergence_rules,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_jaccard_tiles": op6_jaccard_tiles,
         "op8_huffman_ids": op8_huffman_ids,
         "op9_bottom_k": op9_bottom_k,
         "op10_markov_secrets": op10_markov_secrets,
