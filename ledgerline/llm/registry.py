@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, html_text, huffman, jaccard_join, packing, quality_rules, secret_scan
+from . import byte_bpe, fingerprints, html_text, huffman, jaccard_join, packing, quality_rules, secret_scan, suffix_dedup
 from .common import scratch, table
 
 
@@ -17,6 +17,10 @@ def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,6 +53,7 @@ def queries() -> dict:
     return {
         "op1_retrieval_packing": op1_retrieval_packing,
         "op2_site_style_tree": op2_site_style_tree,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_divergence_rules": op4_divergence_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_jaccard_tiles": op6_jaccard_tiles,
