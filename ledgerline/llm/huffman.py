@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -156,7 +157,7 @@ def id_counts(table: DataFrame, vocab: int) -> np.ndarray:
         counts = np.zeros(vocab, np.int64)
         for batch in batches:
             for width in set(batch.column("width").to_pylist()):
-                rows = batch.filter(pa.compute.equal(batch.column("width"), width))
+                rows = batch.filter(pc.equal(batch.column("width"), width))
                 counts += np.bincount(np.frombuffer(b"".join(rows.column("ids").to_pylist()), f"<u{width}"), minlength=vocab)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
