@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, html_text, huffman, jaccard_join, packing, quality_rules, secret_scan, suffix_dedup
+from . import byte_bpe, fingerprints, html_text, huffman, jaccard_join, packing, quality_rules, secret_scan, suffix_dedup, toxicity
 from .common import scratch, table
 
 
@@ -34,6 +35,13 @@ def op6_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"), n=3, num=90)
 
 
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    scored = toxicity.score(docs, toxicity.fit(*toxicity.sample(docs, labels, fold != 2)))
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-file")
     huffman.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -57,6 +65,7 @@ def queries() -> dict:
         "op4_divergence_rules": op4_divergence_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_jaccard_tiles": op6_jaccard_tiles,
+        "op7_crf_toxicity": op7_crf_toxicity,
         "op8_huffman_ids": op8_huffman_ids,
         "op9_bottom_k": op9_bottom_k,
         "op10_markov_secrets": op10_markov_secrets,
