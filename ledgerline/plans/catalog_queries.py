@@ -1,4 +1,480 @@
-"""Registered catalog queries and their DuckDB equivalents."""
+"""Registered catalog queries and their DuckDB equivalents.
+
+Each query composes operators over the views of `sources.catalog_views`; each SQL text says the same
+from the tables up, in its own way.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerline.functions import paths
+from ledgerline.operators import dedup, health, recovery, retention, segments, timeline
+from ledgerline.operators import extents as extent_ops
+from ledgerline.sources import catalog_views as views
+from ledgerline.sources.catalog_views import Tables
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: The head commit of the test history, and a commit in the middle of it.
+HEAD, MIDDLE = 29, 10
+
+# Views that the SQL texts share.
+_VIEWS = {
+    "raw": """SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS seq, ts, event_id AS version, user_id, value, event_type,
+        CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, 'u' || user_id || '/' || json_extract_string(props, '$.k') AS path FROM events""",
+    "ops": "SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ts, version) - 1 AS op_seq FROM raw",
+    "lagged": "SELECT *, lag(op) OVER (PARTITION BY path ORDER BY seq, op_seq) AS previous FROM ops",
+    "log": "SELECT * FROM lagged WHERE NOT (op = 'delete' AND (previous IS NULL OR previous = 'delete'))",
+    "lasts": "SELECT path, seq, op, version FROM (SELECT *, row_number() OVER (PARTITION BY path, seq ORDER BY op_seq DESC) AS k FROM log) WHERE k = 1",
+    "entries": """SELECT path, version, seq AS live_from, live_to FROM
+        (SELECT *, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS live_to FROM lasts) WHERE op = 'put'""",
+    "ext": """SELECT l_orderkey AS version, l_linenumber AS raw_ordinal, CAST(l_quantity AS BIGINT) AS length, l_partkey * 100000 + l_suppkey AS chunk_id,
+        row_number() OVER w - 1 AS ordinal, COALESCE(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS logical_offset
+        FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), l_extendedprice)""",
+    "versions": "SELECT l_orderkey AS version, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS logical_len FROM lineitem GROUP BY 1",
+    "commits": "SELECT DISTINCT seq, CASE WHEN seq > 0 THEN seq - 1 END AS parent_seq FROM raw",
+    "roots": "SELECT DISTINCT seq FROM commits WHERE seq = 29 OR seq % 5 = 0 OR seq % 9 = 4",
+    "live": "SELECT e.*, s.seq FROM entries e JOIN commits s ON e.live_from <= s.seq AND (e.live_to IS NULL OR s.seq < e.live_to) WHERE s.seq <= 29",
+    "marked": "SELECT DISTINCT version FROM live WHERE seq IN (SELECT seq FROM roots)",
+    "weighed": "SELECT seq, seq % 7 = 0 AS is_checkpoint, CAST(count(*) * 100 + sum(length(path)) AS BIGINT) AS bytes, min(version) AS first_version FROM ops GROUP BY seq",
+    "based": "SELECT *, seq - seq % 7 AS base_seq FROM weighed",
+    "pcs": """SELECT doc_id, ordinal, substring(text, CAST(ordinal * 512 + 1 AS BIGINT), 512) AS piece FROM
+        (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 512 + 1)) AS ordinal FROM documents WHERE length(text) > 0)""",
+    "evi": """SELECT event_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS completed,
+        CASE WHEN event_type = 'purchase' THEN 'restore_test' ELSE 'verify' END AS kind,
+        CASE user_id % 3 WHEN 0 THEN 'integrity' WHEN 1 THEN 'recoverability' ELSE 'durability' END AS dimension,
+        CASE WHEN event_type = 'error' THEN 'FAIL' WHEN value < 20 THEN 'DEGRADED' WHEN value < 30 THEN 'UNKNOWN' ELSE 'PASS' END AS status FROM events""",
+    "ranked": "SELECT *, CASE status WHEN 'PASS' THEN 0 WHEN 'UNKNOWN' THEN 1 WHEN 'OVERDUE' THEN 2 WHEN 'DEGRADED' THEN 3 WHEN 'UNSUPPORTED' THEN 4 ELSE 5 END AS rnk FROM evi",
+    "newest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension, kind ORDER BY completed DESC, event_id DESC) AS k FROM evi) WHERE k = 1",
+}
+
+
+def _sql(body: str) -> str:
+    """The body after the views that it uses, directly or through others."""
+    import re
+
+    used: list[str] = []
+
+    def need(text: str) -> None:
+        for name in _VIEWS:
+            if name not in used and re.search(rf"\b(FROM|JOIN) {name}\b", text):
+                need(_VIEWS[name])
+                if name not in used:
+                    used.append(name)
+
+    need(body)
+    return ("WITH " + ", ".join(f"{n} AS ({_VIEWS[n]})" for n in used) + " " if used else "") + body
+
+
+def query(sql: str | None = None):
+    """Registers a function of the tables under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = _sql(sql)
+        return f
+
+    return add
+
+
+def _log(t: Tables) -> DataFrame:
+    return timeline.valid_log(views.raw_ops(t))
+
+
+def _entries(t: Tables) -> DataFrame:
+    return timeline.intervals(_log(t))
+
+
+def _roots(t: Tables) -> DataFrame:
+    seqs = views.commits(t).select("seq")
+    return retention.roots(seqs, seqs.where("seq % 5 <> 0"), seqs.where("seq % 9 = 4"), HEAD)
+
+
+def _weighed(t: Tables) -> DataFrame:
+    size = F.sum(F.length("path") + 100).alias("bytes")
+    return views.raw_ops(t).groupBy("seq").agg(size, F.min("version").alias("first_version")).withColumn("is_checkpoint", F.col("seq") % 7 == 0)
+
+
+# Replay and snapshots
+
+
+@query("SELECT path, version FROM entries WHERE live_from <= 10 AND (live_to IS NULL OR live_to > 10)")
+def snapshot_at(t):
+    return timeline.snapshot(_log(t), MIDDLE)
+
+
+@query("SELECT seq, count(*) AS entries, count(DISTINCT version) AS versions FROM live GROUP BY seq")
+def snapshot_all_counts(t):
+    return timeline.in_snapshots(_entries(t), HEAD).groupBy("seq").agg(F.count("*").alias("entries"), F.countDistinct("version").alias("versions"))
+
+
+@query("SELECT e.path, e.version, v.logical_len FROM entries e JOIN versions v ON e.version = v.version WHERE e.live_to IS NULL AND (e.path = 'u7' OR starts_with(e.path, 'u7/') OR starts_with(e.path, 'u1'))")
+def list_under(t):
+    entries = timeline.snapshot(_log(t), HEAD).where(paths.within("path", "u7") | F.col("path").startswith("u1"))
+    return entries.join(views.file_versions(t), "version").select("path", "version", "logical_len")
+
+
+@query("SELECT url, length(url) - length(replace(url, '/', '')) + 1 AS depth, regexp_replace(url, '/[^/]*$', '') AS parent, list_extract(string_split(url, '/'), -1) AS name FROM pages")
+def path_depth_parent(t):
+    return t.pages.select("url", paths.depth("url").alias("depth"), paths.parent("url").alias("parent"), paths.name("url").alias("name"))
+
+
+@query("""SELECT url, CASE WHEN length(url) = 0 THEN 'empty' WHEN contains('/' || url || '/', '//') THEN 'empty_component'
+ WHEN contains('/' || url || '/', '/./') OR contains('/' || url || '/', '/../') THEN 'dot_component' END AS fault FROM (SELECT url FROM pages UNION ALL SELECT replace(url, '//', '/') FROM pages)""")
+def path_validity(t):
+    urls = t.pages.select("url").union(t.pages.select(F.regexp_replace("url", "//", "/")))
+    return urls.select("url", paths.fault("url").alias("fault"))
+
+
+# Search
+
+
+@query("SELECT path, version FROM entries WHERE live_to IS NULL AND contains(path, '/1')")
+def search_name(t):
+    return timeline.snapshot(_log(t), HEAD).where(F.col("path").contains("/1"))
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'blog')")
+def search_casefold(t):
+    return t.pages.where(paths.folded("url").contains(paths.folded(F.lit("BLOG")))).select("page_id", "url")
+
+
+@query("SELECT seq, path, version FROM live WHERE seq IN (SELECT seq FROM roots) AND starts_with(path, 'u3')")
+def search_scope_retained(t):
+    entries = _entries(t).where(F.col("path").startswith("u3"))
+    return timeline.in_snapshots(entries, HEAD, _roots(t)).select("seq", "path", "version")
+
+
+@query("SELECT r.seq, count(l.path) AS examined, count(l.path) FILTER (WHERE contains(l.path, '/1')) AS hits FROM roots r LEFT JOIN live l ON r.seq = l.seq GROUP BY r.seq")
+def search_coverage(t):
+    rows = timeline.in_snapshots(_entries(t), HEAD, _roots(t))
+    found = rows.groupBy("seq").agg(F.count("*").alias("examined"), F.count_if(F.col("path").contains("/1")).alias("hits"))
+    return _roots(t).join(found, "seq", "left").na.fill(0, ["examined", "hits"])
+
+
+@query("SELECT e.path, e.version, v.logical_len FROM entries e JOIN versions v ON e.version = v.version WHERE e.live_to IS NULL AND v.logical_len = 100")
+def search_content(t):
+    versions = views.file_versions(t).where("logical_len = 100")
+    return timeline.snapshot(_log(t), HEAD).join(versions, "version").select("path", "version", "logical_len")
+
+
+@query("SELECT count(*) AS entries, count(DISTINCT path) AS path_count, CAST(min(live_from) AS BIGINT) AS first_seq FROM entries")
+def interval_totals(t):
+    return _entries(t).agg(F.count("*").alias("entries"), F.countDistinct("path").alias("path_count"), F.min("live_from").alias("first_seq"))
+
+
+# Faults of a history
+
+
+@query("SELECT seq, op_seq, path FROM lagged WHERE op = 'delete' AND (previous IS NULL OR previous = 'delete')")
+def fault_delete_missing(t):
+    return timeline.delete_faults(views.raw_ops(t)).select("seq", "op_seq", "path")
+
+
+@query("""SELECT path, seq FROM live l LEFT JOIN (SELECT 'u' || user_id AS dir, min(seq) AS since FROM raw WHERE user_id % 10 <> 0 GROUP BY 1) d
+ ON regexp_replace(l.path, '/[^/]*$', '') = d.dir WHERE d.since IS NULL OR d.since > l.seq""")
+def fault_missing_parent(t):
+    users = views.raw_ops(t).where("user_id % 10 <> 0")
+    directories = users.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")).agg(F.min("seq").alias("since"))
+    return timeline.containment_faults(_entries(t), directories, HEAD)
+
+
+@query("SELECT version AS version_id, raw_ordinal, ordinal FROM ext WHERE raw_ordinal <> ordinal + 1")
+def fault_op_sequence(t):
+    rows = views.extents(t).where("raw_ordinal <> ordinal + 1")
+    return rows.select(F.col("version").alias("version_id"), "raw_ordinal", "ordinal")
+
+
+@query("SELECT seq, op_seq, row_number() OVER (PARTITION BY seq ORDER BY op_seq) - 1 AS expected FROM log QUALIFY op_seq <> expected")
+def fault_gapped_numbers(t):
+    return timeline.sequence_faults(_log(t), "op_seq").select("seq", "op_seq", "expected")
+
+
+@query("SELECT seq, parent_seq FROM (SELECT *, lag(seq) OVER (ORDER BY seq) AS expected FROM commits WHERE seq % 6 <> 3) WHERE parent_seq IS DISTINCT FROM expected")
+def fault_chain(t):
+    return timeline.chain_faults(views.commits(t).where("seq % 6 <> 3")).select("seq", "parent_seq")
+
+
+@query("SELECT seq, op_seq, version FROM ops WHERE op = 'put' AND version NOT IN (SELECT version FROM versions)")
+def fault_unknown_version(t):
+    return views.raw_ops(t).where("op = 'put'").join(views.file_versions(t), "version", "left_anti").select("seq", "op_seq", "version")
+
+
+@query("SELECT chunk_id, count(DISTINCT version) AS n FROM ext GROUP BY chunk_id HAVING count(DISTINCT version) > 1")
+def strict_introduction(t):
+    return views.extents(t).groupBy("chunk_id").agg(F.countDistinct("version").alias("n")).where("n > 1")
+
+
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier)")
+def fault_references(t):
+    lines = t.lineitem.select("l_partkey", "l_suppkey")
+    parts = lines.join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti").select("l_partkey")
+    suppliers = lines.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_anti").select("l_partkey")
+    return parts.union(suppliers).distinct()
+
+
+# Extents and content
+
+
+@query("""SELECT version, defect FROM (SELECT v.version, COALESCE(min(CASE WHEN raw_ordinal <> ordinal THEN 'ordinal_sequence' END), CASE WHEN max(logical_offset + length) <> any_value(logical_len) THEN 'length_mismatch' END) AS defect
+ FROM versions v JOIN ext e ON v.version = e.version GROUP BY v.version) WHERE defect IS NOT NULL""")
+def extent_defects(t):
+    return extent_ops.defects(views.extents(t), views.file_versions(t), "raw_ordinal")
+
+
+@query("""SELECT version, count(*) AS extents, CAST(sum(CASE WHEN before IS DISTINCT FROM chunk_id THEN 1 ELSE 0 END) AS BIGINT) AS loads
+ FROM (SELECT *, lag(chunk_id) OVER (PARTITION BY version ORDER BY ordinal) AS before FROM ext) GROUP BY version""")
+def extent_read_plan(t):
+    return extent_ops.loads(views.extents(t))
+
+
+@query("SELECT version, CAST(sum(length) AS BIGINT) AS hole_bytes FROM ext WHERE chunk_id % 7 = 0 GROUP BY version")
+def hole_bytes(t):
+    holes = views.extents(t).withColumn("chunk_id", F.when(F.col("chunk_id") % 7 != 0, F.col("chunk_id")))
+    return holes.where("chunk_id is null").groupBy("version").agg(F.sum("length").alias("hole_bytes"))
+
+
+@query("SELECT doc_id, count(*) AS n_pieces, CAST(sum(length(piece)) AS BIGINT) AS n_chars FROM pcs GROUP BY doc_id")
+def chunk_split(t):
+    return views.pieces(t).groupBy("doc_id").agg(F.count("*").alias("n_pieces"), F.sum(F.length("piece")).alias("n_chars"))
+
+
+@query("SELECT length(piece) AS decoded_len, sha256(piece) AS content_hash, min(doc_id * 1000000 + ordinal) AS object_id FROM pcs GROUP BY 1, 2")
+def dedup_index(t):
+    return dedup.index(views.pieces(t).withColumn("object_id", F.col("doc_id") * 1000000 + F.col("ordinal")))
+
+
+@query("""SELECT count(*) AS chunks, count(*) FILTER (WHERE piece IN (SELECT piece FROM pcs WHERE doc_id % 2 = 0)) AS chunks_reused,
+ CAST(COALESCE(sum(length(piece)) FILTER (WHERE piece IN (SELECT piece FROM pcs WHERE doc_id % 2 = 0)), 0) AS BIGINT) AS bytes_reused, CAST(0 AS BIGINT) AS candidates_rejected FROM pcs WHERE doc_id % 2 = 1""")
+def dedup_stats(t):
+    pieces = views.pieces(t).withColumn("object_id", F.col("doc_id") * 1000000 + F.col("ordinal"))
+    return dedup.statistics(dedup.probed(pieces.where("doc_id % 2 = 1"), pieces.where("doc_id % 2 = 0")))
+
+
+@query("SELECT doc_id, (length(text) - 1) // 512 + 1 AS n_pieces, sha256(text) AS content_hash FROM documents WHERE length(text) > 0")
+def reassemble_hash(t):
+    return extent_ops.reassembled(views.pieces(t))
+
+
+# Retention and collection
+
+
+@query("""SELECT key, op_id, kind, CASE WHEN kind = 'hold' AND prev = 'hold' THEN 'duplicate_hold' WHEN kind = 'release' AND (prev IS NULL OR prev = 'release') THEN 'inactive_label' WHEN kind = 'expire' AND prev IS NOT NULL THEN 'expired_twice' END AS fault
+ FROM (SELECT *, lag(kind) OVER (PARTITION BY family, key ORDER BY op_id) AS prev FROM (SELECT event_id AS op_id, user_id AS key, CASE event_type WHEN 'signup' THEN 'expire' WHEN 'error' THEN 'release' ELSE 'hold' END AS kind, CASE event_type WHEN 'signup' THEN 'snapshot' ELSE 'label' END AS family FROM events WHERE event_type IN ('signup', 'error', 'purchase')))""")
+def retention_state(t):
+    kind = F.when(F.col("event_type") == "signup", "expire").when(F.col("event_type") == "error", "release").otherwise("hold")
+    ops = t.events.where(F.col("event_type").isin("signup", "error", "purchase")).select(F.col("event_id").alias("op_id"), F.col("user_id").alias("key"), kind.alias("kind"))
+    ops = ops.withColumn("family", F.when(F.col("kind") == "expire", "snapshot").otherwise("label"))
+    return retention.replay(ops).select("key", "op_id", "kind", "fault")
+
+
+@query("SELECT seq FROM roots")
+def roots(t):
+    return _roots(t)
+
+
+@query("SELECT version FROM marked")
+def gc_mark_versions(t):
+    return retention.mark(_entries(t), _roots(t), views.extents(t), HEAD)[0]
+
+
+@query("SELECT DISTINCT chunk_id FROM ext WHERE version IN (SELECT version FROM marked)")
+def gc_mark_chunks(t):
+    return retention.mark(_entries(t), _roots(t), views.extents(t), HEAD)[1]
+
+
+_CHUNKS = "(SELECT chunk_id, sum(length) AS bytes, max(CASE WHEN version IN (SELECT version FROM marked) THEN 1 ELSE 0 END) AS kept FROM ext GROUP BY chunk_id)"
+
+
+@query(f"SELECT CASE WHEN kept = 1 THEN 'retained' ELSE 'collectable' END AS class, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM {_CHUNKS} GROUP BY 1")
+def gc_totals(t):
+    everything = views.extents(t).groupBy("chunk_id").agg(F.sum("length").alias("bytes"))
+    return retention.totals(retention.mark(_entries(t), _roots(t), views.extents(t), HEAD)[1], everything, "chunk_id")
+
+
+@query("SELECT seq, 'expired and not held' AS reason FROM commits WHERE seq NOT IN (SELECT seq FROM roots)")
+def gc_collectable(t):
+    return views.commits(t).select("seq").join(_roots(t), "seq", "left_anti").withColumn("reason", F.lit("expired and not held"))
+
+
+@query("SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS new_seq FROM roots")
+def compaction_mapping(t):
+    return retention.renumbered(_roots(t))
+
+
+_AT = "(SELECT path, version FROM live WHERE seq = {0})"
+
+
+@query(f"""SELECT path, CASE WHEN b.version IS NULL THEN 'delete' ELSE 'put' END AS op, b.version FROM {_AT.format(10)} a FULL JOIN {_AT.format(29)} b USING (path) WHERE a.version IS DISTINCT FROM b.version""")
+def snapshot_diff(t):
+    return timeline.diff(timeline.snapshot(_log(t), MIDDLE), timeline.snapshot(_log(t), HEAD))
+
+
+@query(f"""SELECT path, CASE WHEN a.version IS NULL THEN 'missing_left' WHEN b.version IS NULL THEN 'missing_right' ELSE 'changed' END AS difference FROM {_AT.format(5)} a FULL JOIN {_AT.format(10)} b USING (path) WHERE a.version IS DISTINCT FROM b.version""")
+def state_differences(t):
+    return timeline.state_differences(timeline.snapshot(_log(t), 5), timeline.snapshot(_log(t), MIDDLE))
+
+
+# Segments
+
+
+@query("SELECT seq, base_seq FROM based")
+def segment_base(t):
+    return segments.with_base(_weighed(t)).select("seq", "base_seq")
+
+
+@query("""SELECT base_seq, CAST(sum(CASE WHEN is_checkpoint THEN bytes ELSE 0 END) AS BIGINT) AS base_bytes, count(*) FILTER (WHERE NOT is_checkpoint) AS deltas,
+ CAST(sum(CASE WHEN is_checkpoint THEN 0 ELSE bytes END) AS BIGINT) AS delta_bytes FROM based GROUP BY base_seq""")
+def segment_accounting(t):
+    return segments.accounting(_weighed(t))
+
+
+@query("""SELECT CAST(0 AS BIGINT) AS archive, seq, fires FROM (
+ WITH RECURSIVE w AS (SELECT seq, bytes, row_number() OVER (ORDER BY seq) AS k FROM weighed0),
+ r AS (SELECT k, seq, true AS fires, bytes AS base, CAST(0 AS BIGINT) AS deltas FROM w WHERE k = 1
+  UNION ALL SELECT w.k, w.seq, r.deltas >= greatest(r.base, 1000), CASE WHEN r.deltas >= greatest(r.base, 1000) THEN w.bytes ELSE r.base END,
+  CASE WHEN r.deltas >= greatest(r.base, 1000) THEN 0 ELSE r.deltas + w.bytes END FROM r JOIN w ON w.k = r.k + 1)
+ SELECT seq, fires FROM r)""".replace("weighed0", f"(SELECT seq, CAST(count(*) * 100 + sum(length(path)) AS BIGINT) AS bytes FROM ({_VIEWS['raw']}) GROUP BY seq)"))
+def checkpoint_schedule(t):
+    return segments.schedule(_weighed(t).select(F.lit(0).cast("long").alias("archive"), "seq", "bytes"), floor=1000)
+
+
+@query("""SELECT seq, base_seq, CASE WHEN first_version % 4 = 0 THEN 'own_record' WHEN broken IS NOT NULL THEN 'delta ' || broken END AS blocker
+ FROM (SELECT *, min(CASE WHEN first_version % 4 = 0 THEN seq END) OVER (PARTITION BY base_seq ORDER BY seq) AS broken FROM based)""")
+def damage_scope(t):
+    return recovery.damage(_weighed(t).withColumn("intact", F.col("first_version") % 4 != 0))
+
+
+# Status and health
+
+
+@query("SELECT dimension, arg_max(status, rnk) AS worst FROM ranked GROUP BY dimension")
+def status_rollup(t):
+    return views.evidence(t).groupBy("dimension").agg(health.worst("status").alias("worst"))
+
+
+@query("""SELECT seq, dimension, CASE max(rnk) WHEN 5 THEN 1 WHEN 4 THEN 4 WHEN 0 THEN 0 ELSE 2 END::BIGINT AS exit_code FROM ranked GROUP BY seq, dimension""")
+def exit_code(t):
+    worst = views.evidence(t).groupBy("seq", "dimension").agg(health.worst("status").alias("worst")).withColumn("operational", F.lit(False))
+    return worst.select("seq", "dimension", health.exit_code("worst", "operational").alias("exit_code"))
+
+
+@query("SELECT dimension, kind, event_id, seq, completed, status FROM newest")
+def health_latest_evidence(t):
+    return health.latest(views.evidence(t))
+
+
+@query("""SELECT n.dimension, n.kind, CASE WHEN status = 'FAIL' THEN 'FAIL' WHEN seq <> 29 THEN 'UNKNOWN' WHEN completed > 1706572800 THEN 'UNKNOWN' WHEN 1706572800 - completed > 36000 THEN 'OVERDUE' ELSE status END AS judgement,
+ EXISTS (SELECT 1 FROM evi f WHERE f.dimension = n.dimension AND f.kind = n.kind AND f.status = 'FAIL') AS ever_failed FROM newest n""")
+def health_judgement(t):
+    rows = views.evidence(t)
+    return health.judged(health.latest(rows), rows.where("status = 'FAIL'"), now=1706572800, head=HEAD, limit=36000)
+
+
+@query("SELECT user_id, CASE WHEN max(seq) = 29 THEN 'current' WHEN max(seq) >= 25 THEN 'behind' ELSE 'stale' END AS freshness FROM raw GROUP BY user_id")
+def freshness(t):
+    seen = views.raw_ops(t).groupBy("user_id").agg(F.max("seq").alias("seen"))
+    return seen.select("user_id", F.when(F.col("seen") == HEAD, "current").when(F.col("seen") >= HEAD - 4, "behind").otherwise("stale").alias("freshness"))
+
+
+# Recovery, repair, restore
+
+
+@query("""SELECT url AS path, CASE WHEN page_id % 11 = 0 THEN 'bad_version' ELSE 'below_dropped' END AS reason FROM pages p
+ WHERE page_id % 11 = 0 OR EXISTS (SELECT 1 FROM pages a WHERE a.page_id % 11 = 0 AND starts_with(p.url, a.url || '/'))""")
+def repair_filter(t):
+    pages = t.pages.select(F.col("url").alias("path"), F.col("page_id").alias("version"))
+    return recovery.repaired(pages, pages.where("version % 11 = 0").select("version"))
+
+
+@query("SELECT l.seq, max(c.seq) AS catalog_seq FROM commits l JOIN commits c ON c.seq >= l.seq AND c.seq < l.seq + 7 AND c.seq % 4 <> 1 GROUP BY l.seq")
+def repair_suppliers(t):
+    catalogs = views.commits(t).select(F.col("seq").alias("catalog_seq"))
+    held = catalogs.withColumn("seq", F.explode(F.expr("sequence(greatest(catalog_seq - 6, 0L), catalog_seq)")))
+    return recovery.suppliers(held.withColumn("opens", F.col("catalog_seq") % 4 != 1)).select("seq", "catalog_seq")
+
+
+@query("SELECT seq, CASE WHEN seq = 20 THEN 'snapshot' WHEN seq BETWEEN 8 AND 20 THEN 'historical' ELSE 'files' END AS scope FROM commits")
+def recovery_scope(t):
+    return recovery.scope(views.commits(t), 8, 20)
+
+
+@query("""SELECT path, first_value(path) OVER w AS winner FROM (SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN upper(n) ELSE n END AS path FROM (SELECT page_id, regexp_replace(url, '^.*//([^/]*)/.*$', '\\1') AS n FROM pages))
+ WINDOW w AS (PARTITION BY lower(path) ORDER BY path) QUALIFY row_number() OVER w > 1""")
+def restore_collisions(t):
+    host = F.regexp_replace("url", "^.*//([^/]*)/.*$", "$1")
+    names = t.pages.select(F.when(F.col("page_id") % 2 == 0, F.upper(host)).otherwise(host).alias("path")).distinct()
+    return recovery.collisions(names)
+
+
+@query("""SELECT name, CASE WHEN regexp_matches(name, '[<>:"\\\\|?*\\x00-\\x1f]') THEN 'illegal_character' WHEN regexp_matches(name, '[. ]$') THEN 'trailing_dot_or_space'
+ WHEN regexp_matches(lower(name), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])($|\\.)') THEN 'reserved_name' END AS issue
+ FROM (SELECT list_extract(string_split(url, '/'), -1) AS name FROM pages UNION ALL SELECT 'con.' || source FROM documents UNION ALL SELECT lang || '.' FROM documents)""")
+def windows_name_issue(t):
+    names = t.pages.select(paths.name("url").alias("name")).union(t.documents.select(F.concat(F.lit("con."), "source"))).union(t.documents.select(F.concat("lang", F.lit("."))))
+    return names.select("name", paths.windows_issue("name").alias("issue"))
+
+
+# Catalog relations
+
+
+@query("""SELECT o.chunk_id, o.stored_len, p.p_name AS location, o.dependencies FROM (SELECT chunk_id, any_value(chunk_id // 100000) AS pk, CAST(sum(length) AS BIGINT) AS stored_len, count(DISTINCT version) AS dependencies FROM ext GROUP BY chunk_id) o
+ LEFT JOIN (SELECT * FROM part WHERE p_size > 10) p ON o.pk = p.p_partkey""")
+def object_record_join(t):
+    objects = views.extents(t).groupBy("chunk_id").agg(F.sum("length").alias("stored_len"), F.countDistinct("version").alias("dependencies"))
+    locations = t.part.where("p_size > 10").select(F.col("p_partkey"), F.col("p_name").alias("location"))
+    return objects.withColumn("p_partkey", F.expr("chunk_id div 100000")).join(locations, "p_partkey", "left").select("chunk_id", "stored_len", "location", "dependencies")
+
+
+@query("SELECT (SELECT count(DISTINCT version) FROM live WHERE seq = 10) AS versions, (SELECT count(DISTINCT chunk_id) FROM ext WHERE version IN (SELECT version FROM live WHERE seq = 10)) AS chunks")
+def closure_at_commit(t):
+    versions, chunks = timeline.reachable(timeline.snapshot(_log(t), MIDDLE), views.extents(t))
+    return versions.agg(F.count("*").alias("versions")).crossJoin(chunks.agg(F.count("*").alias("chunks")))
+
+
+@query("""SELECT o.seq, CAST(count(DISTINCT o.version) * 7 + count(e.version) * 4 + count(DISTINCT o.op_seq) * 3 AS BIGINT) AS work FROM ops o LEFT JOIN ext e ON o.version = e.version GROUP BY o.seq""")
+def manifest_work_bound(t):
+    sizes = views.extents(t).groupBy("version").agg(F.count("*").alias("n"))
+    rows = views.raw_ops(t).join(sizes, "version", "left")
+    return rows.groupBy("seq").agg((F.countDistinct("version") * 7 + F.coalesce(F.sum("n"), F.lit(0)) * 4 + F.countDistinct("op_seq") * 3).alias("work"))
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in _TABLES))
+def dump_counts(t):
+    counts = [getattr(t, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("row_count")) for n in _TABLES]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
+@query("SELECT s.path FROM (SELECT path, version FROM entries WHERE live_to IS NULL) s WHERE s.path IN (SELECT 'u' || user_id || '/1' FROM events) OR starts_with(s.path, 'u5/')")
+def restore_selection(t):
+    chosen = views.raw_ops(t).select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/1")).alias("path")).distinct()
+    live = timeline.snapshot(_log(t), HEAD)
+    exact = live.join(chosen, "path", "left_semi").select("path")
+    return exact.union(live.where(paths.within("path", "u5")).select("path")).distinct()
+
+
+@query("SELECT path, 'u' || user_id || '/renamed' AS target, version FROM (SELECT l.*, CAST(regexp_extract(path, '^u([0-9]+)', 1) AS BIGINT) AS user_id FROM live l WHERE seq = 29) WHERE path LIKE '%/0'")
+def rename_ops(t):
+    live = timeline.snapshot(_log(t), HEAD).where(F.col("path").like("%/0"))
+    return live.select("path", F.concat(paths.parent("path"), F.lit("/renamed")).alias("target"), "version")
+
+
+@query("SELECT dimension, CAST(max(1706572800 - completed) AS BIGINT) AS oldest_age FROM newest GROUP BY dimension")
+def oldest_evidence(t):
+    return health.latest(views.evidence(t)).groupBy("dimension").agg(F.max(F.lit(1706572800) - F.col("completed")).cast("long").alias("oldest_age"))
+
+
+@query("""SELECT seq, CAST(sum(v) OVER (ORDER BY seq) AS BIGINT) AS known_versions FROM (SELECT seq, count(*) AS v FROM (SELECT version, min(seq) AS seq FROM ops WHERE op = 'put' GROUP BY version) GROUP BY seq)""")
+def introduced_versions(t):
+    first = views.raw_ops(t).where("op = 'put'").groupBy("version").agg(F.min("seq").alias("seq")).groupBy("seq").agg(F.count("*").alias("v"))
+    return first.select("seq", F.sum("v").over(Window.orderBy("seq")).alias("known_versions"))
