@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY_PATH = Window.partitionBy("path").orderBy("seq", "op_seq")
-
-
 def with_previous(ops: DataFrame) -> DataFrame:
-    return ops.withColumn("previous", F.lag("op").over(_BY_PATH))
+    """Adds what the operation before did to the same path."""
+    return ops.withColumn("previous", F.lag("op").over(Window.partitionBy("path").orderBy("seq", "op_seq")))
 
 
 def delete_faults(ops: DataFrame) -> DataFrame:
