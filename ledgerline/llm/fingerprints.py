@@ -7,7 +7,7 @@ built-in column functions; nothing leaves the JVM.
 
 Defined cases: a null or empty text, or one of white space, has an empty sketch; two empty sketches
 have likeness 1, one empty and one not, 0; repeated rows are sketched alike, and rows of one doc_id
-follow each other by descending text; an empty table gives no rows; only doc_id and text are read.
+follow each other by descending text; rows without an id come after all others; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -15,10 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SHINGLE, K, BITS = 5, 128, 48
 _DIGITS = BITS // 4
 #: Ids of a span whose neighbours are found together, and spans of a larger one.
 SPAN, SPANS = 1024, 1024
+#: Where rows without an id stand: after all others.
+LAST = -(1 << 63)
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -62,36 +66,42 @@ def to_text(sketch: str) -> Column:
     return F.expr(f"array_join(transform({sketch}, x -> lpad(lower(hex(x)), {_DIGITS}, '0')), '')")
 
 
-def _following_heads(rows: DataFrame) -> DataFrame:
-    """For every span of ids: the first row (largest id, then largest text) of the next lower span
-    that has rows, after the lowest that of the highest. Spans are linked within larger ones and
-    these among themselves, so a single task sees one row for a million ids at most."""
-    spans = rows.groupBy("span").agg(F.expr(f"first(span div {SPANS})").alias("wide"))
-    heads = rows.where("is_head").select("span", F.struct("text", "sketch").alias("head"))
-    inner = Window.partitionBy("wide").orderBy(F.desc("span"))
-    spans = spans.withColumn("next_span", F.lead("span").over(inner))
-    wide = spans.groupBy("wide").agg(F.max("span").alias("first"))
+def _following_heads(docs: DataFrame, k: int) -> DataFrame:
+    """For every span of ids: text and sketch of the first row (largest id, then largest text) of the
+    next lower span that has rows, after the lowest those of the highest.
+
+    Spans are linked within larger ones and these among themselves, so a single task sees one row for
+    a million ids at most. The heads' ids are written before they meet the texts: by the size of that
+    table Spark sends it to all tasks or, beyond its limit for that, shuffles.
+    """
+    ids = docs.groupBy("span").agg(F.max("doc_id").alias("doc_id"))
+    ids = stored(ids.withColumn("wide", F.expr(f"span div {SPANS}")), "heads")
+    spans = ids.withColumn("next_span", F.lead("span").over(Window.partitionBy("wide").orderBy(F.desc("span"))))
+    wide = ids.groupBy("wide").agg(F.max("span").alias("first"))
     outer = Window.orderBy(F.desc("wide"))
     wide = wide.withColumn("after", F.coalesce(F.lead("first").over(outer), F.first("first").over(outer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     links = spans.join(wide.select("wide", "after"), "wide").select("span", F.coalesce("next_span", "after").alias("next_span"))
-    return links.join(heads.select(F.col("span").alias("next_span"), "head"), "next_span").select("span", "head")
+    first = docs.join(ids.select("doc_id"), "doc_id", "left_semi").groupBy("span").agg(F.max("text").alias("text"))
+    heads = with_sketch(first, "text", "sketch", k).select(F.col("span").alias("next_span"), F.struct("text", "sketch").alias("head"))
+    return links.join(heads, "next_span").select("span", "head")
 
 
 def edited_likeness(docs: DataFrame, k: int = K) -> DataFrame:
     """Per document: its sketch, that of its edited text (its last third replaced by the beginning of
     the next document in descending id), and the likeness of its sketch to that and to the next one's."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_sketch(rows, "text", "sketch", k).withColumn("span", F.expr(f"coalesce(doc_id, 0) div {SPAN}"))
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    plain = plain.withColumn("span", F.expr(f"doc_id div {SPAN}"))
+    rows = with_sketch(plain, "text", "sketch", k)
     order = Window.partitionBy("span").orderBy(F.desc("doc_id"), F.desc("text"))
-    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).withColumn("is_head", F.lag(F.lit(1)).over(order).isNull())
-    rows = rows.join(_following_heads(rows), "span")
+    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
+    rows = rows.join(_following_heads(plain, k), "span")
     rows = rows.withColumn("next", F.coalesce("next", F.struct("head.text", "head.sketch"))).drop("head", "span")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("moved", F.expr("cast(n_chars div 3 as int)"))
     rows = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - moved), left(next.text, moved))"))
     rows = rows.withColumn("next_sketch", F.col("next.sketch")).drop("next", "text")
     rows = with_sketch(rows, "edited", "edited_sketch", k)
     return rows.select(
-        "doc_id",
+        F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         to_text("sketch").alias("fingerprint"),
