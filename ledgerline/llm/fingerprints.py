@@ -30,8 +30,8 @@ def with_sketch(docs: DataFrame, text: str, name: str, k: int = K, shingle: int
     """Adds the sketch of a text column as an array of longs."""
     docs = docs.withColumn("_t", F.btrim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(_BLANK)))
     docs = docs.withColumn("_w", F.expr(r"if(_t = '', array(), split(_t, '[ \\x09-\\x0D]+'))"))
-    following = ", ".join(f"get(_w, i + {j})" for j in range(1, shingle))
-    hashes = f"transform(slice(_w, 1, greatest(size(_w) - {shingle - 1}, 1)), (w, i) -> xxhash64(w, {following}) & {(1 << BITS) - 1}L)"
+    following = "".join(f", get(_w, i + {j})" for j in range(1, shingle))
+    hashes = f"transform(slice(_w, 1, greatest(size(_w) - {shingle - 1}, 1)), (w, i) -> xxhash64(w{following}) & {(1 << BITS) - 1}L)"
     return docs.withColumn(name, F.slice(F.sort_array(F.array_distinct(F.expr(hashes))), 1, k)).drop("_t", "_w")
 
 
