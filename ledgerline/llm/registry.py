@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, html_text, huffman, jaccard_join, packing, quality_rules, secret_scan, suffix_dedup, toxicity
+from . import byte_bpe, fingerprints, html_text, huffman, jaccard_join, oracles, packing, quality_rules, secret_scan, suffix_dedup, toxicity
 from .common import scratch, table
 
 
@@ -73,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_divergence_rules": oracles.OP4, "op6_jaccard_tiles": oracles.OP6}

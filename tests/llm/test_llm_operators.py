@@ -300,3 +300,16 @@ def test_repeated_rows(spark):
     assert sorted(r.n_removed for r in suffix_dedup.digests(docs).collect()) == [360, 480, 480]
     assert fingerprints.edited_likeness(docs).count() == 3
     assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 3
+
+
+@pytest.mark.parametrize("name", ["op4_divergence_rules", "op6_jaccard_tiles"])
+def test_matches_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from ledgerline.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    got = registry.queries()[name](spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = con.execute(registry.oracle_sql()[name]).df().sort_values("doc_id").reset_index(drop=True)[got.columns]
+    assert (got == want).all().all()
