@@ -35,8 +35,8 @@ from .components import connected, forest
 
 #: Sets and shingles that a tile's block holds on average, at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Bytes of text for each range of part hashes that is searched by one task.
-RANGE_BYTES = 16 << 20
+#: Part hashes in each range of them that one task searches, on average.
+RANGE_HASHES = 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -65,7 +65,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 300_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     size = min(n, len(h))
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, n: int, num: int, ranges: int) -> DataFrame:
         bands = Bands(num)
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 3
-        for batch in small_batches(batches, size=8 << 20):
+        for batch in small_batches(batches, size=4 << 20):
             ids = batch.column("doc_id").to_pylist()
             sets = [shingles(t, n) for t in bytes_of(batch)]
             sizes = [len(s) for s in sets]
@@ -173,12 +173,17 @@ def _group_links(blobs: DataFrame) -> DataFrame:
                 raw[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
                 parts.append(raw.view("<u8")[:, 0])
                 owners.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, "<u4")))
-        part, owner = np.concatenate(parts), np.concatenate(owners)
-        del parts, owners
-        order = np.lexsort((owner, part))
-        part, owner = part[order], owner[order]
-        first = np.diff(part, prepend=~part[:1]) != 0
-        lead = owner[np.flatnonzero(first)][np.cumsum(first) - 1]
+        part = np.concatenate(parts)
+        parts.clear()
+        order = np.argsort(part)
+        part = part[order]
+        first = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
+        sizes = np.diff(np.append(first, len(part)))
+        several = np.repeat(sizes > 1, sizes)
+        owner = np.concatenate(owners)[order[several]]
+        del part, order, owners
+        sizes = sizes[sizes > 1]
+        lead = np.repeat(np.minimum.reduceat(owner, np.cumsum(sizes) - sizes), sizes) if len(sizes) else owner
         differ = owner != lead
         a, b = forest(owner[differ], lead[differ])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -282,7 +287,8 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     `n` words make a shingle; two texts link when 100 * intersection >= num * union.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = parts_for(n_bytes(docs), RANGE_BYTES)
+    # a word for six bytes of text; a set has about 2.4 hashes for each shingle that a similar one may lack
+    ranges = parts_for(n_bytes(docs) // 6 * 24 * (100 - num) // (10 * num), RANGE_HASHES)
     both = stored(_sets(docs, n, num, ranges), "sets")
     sets = both.where("at is null").select("doc_id", "n_shingles", "key_a", "key_b")
     groups = connected(_group_links(both.where("at is not null")), "groups").withColumnRenamed("component", "grp")
