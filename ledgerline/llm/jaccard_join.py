@@ -36,7 +36,9 @@ from .components import connected, forest
 #: Sets and shingles that a tile's block holds on average, at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Part hashes in each range of them that one task searches, on average.
-RANGE_HASHES = 4_000_000
+RANGE_HASHES = 2_500_000
+#: Hashes of a range beyond which it is dealt over several tasks.
+SPLIT_HASHES = 7_500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -162,33 +164,65 @@ def _sets(docs: DataFrame, n: int, num: int, ranges: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _group_links(blobs: DataFrame) -> DataFrame:
-    """Links (a, b) that join all texts agreeing on a part: each to the smallest of them."""
+def _led(part: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of all texts that agree on a part to the smallest of them, as a forest; parts and that text."""
+    order = np.argsort(part)
+    part, owner = part[order], owner[order]
+    first = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
+    sizes = np.diff(np.append(first, len(part)))
+    lead = np.minimum.reduceat(owner, first) if len(first) else owner
+    to = np.repeat(lead, sizes)
+    differ = owner != to
+    return *forest(owner[differ], to[differ]), part[first], lead
 
-    def run(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _group_links(blobs: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) that join all texts agreeing on a part: each to the smallest of them.
+
+    A range of up to `limit` hashes is one task's. A larger one, where very many texts agree, is
+    dealt over several, which hand on one text for each part.
+    """
+
+    def unpacked(tables: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         parts, owners = [], []
         for rows in tables:
-            for packed, ids, counts in zip(*(rows.column(c).to_pylist() for c in ("parts", "ids", "counts")), strict=True):
-                raw = np.zeros((len(packed) // 5, 8), np.uint8)
+            for packed, ids, counts in zip(*([x.as_buffer() for x in rows.column(c)] for c in ("parts", "ids", "counts")), strict=True):
+                raw = np.zeros((packed.size // 5, 8), np.uint8)
                 raw[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
                 parts.append(raw.view("<u8")[:, 0])
                 owners.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, "<u4")))
-        part = np.concatenate(parts)
-        parts.clear()
-        order = np.argsort(part)
-        part = part[order]
-        first = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
-        sizes = np.diff(np.append(first, len(part)))
-        several = np.repeat(sizes > 1, sizes)
-        owner = np.concatenate(owners)[order[several]]
-        del part, order, owners
-        sizes = sizes[sizes > 1]
-        lead = np.repeat(np.minimum.reduceat(owner, np.cumsum(sizes) - sizes), sizes) if len(sizes) else owner
-        differ = owner != lead
-        a, b = forest(owner[differ], lead[differ])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return np.concatenate(parts), np.concatenate(owners)
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def direct(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield links(*_led(*unpacked(tables))[:2])
+
+    def shared(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [pa.array([x.tobytes()], pa.binary()) for x in _led(*unpacked(tables))]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *found], ["at", "a", "b", "part", "lead"])
+
+    def merged(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [t.to_pydict() for t in tables]
+        part, lead = (np.concatenate([np.frombuffer(x, kind) for t in rows for x in t[c]]) for c, kind in (("part", np.uint64), ("lead", np.int64)))
+        yield links(*_led(part, lead)[:2])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                yield links(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
 
-    return blobs.select("at", "parts", "ids", "counts").groupBy("at").applyInArrow(run, "a long, b long")
+    blobs = blobs.select("at", "parts", "ids", "counts")
+    held = stored(blobs.groupBy("at").agg(F.ceil(F.sum(F.octet_length("parts")) / (5 * limit)).cast("int").alias("shares")), "ranges")
+    schema = "a long, b long"
+    light = blobs.join(held.where("shares <= 1").select("at"), "at").groupBy("at").applyInArrow(direct, schema)
+    heavy = held.where("shares > 1")
+    if heavy.isEmpty():
+        return light
+    dealt = blobs.join(heavy, "at").withColumn("share", F.pmod(F.xxhash64("ids", "parts"), F.col("shares")).cast("int")).drop("shares")
+    shares = stored(dealt.groupBy("at", "share").applyInArrow(shared, "at int, a binary, b binary, part binary, lead binary"), "shares")
+    return light.unionByName(shares.mapInArrow(listed, schema)).unionByName(shares.select("at", "part", "lead").groupBy("at").applyInArrow(merged, schema))
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -291,7 +325,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     ranges = parts_for(n_bytes(docs) // 6 * 24 * (100 - num) // (10 * num), RANGE_HASHES)
     both = stored(_sets(docs, n, num, ranges), "sets")
     sets = both.where("at is null").select("doc_id", "n_shingles", "key_a", "key_b")
-    groups = connected(_group_links(both.where("at is not null")), "groups").withColumnRenamed("component", "grp")
+    groups = connected(_group_links(both.where("at is not null"), SPLIT_HASHES), "groups").withColumnRenamed("component", "grp")
     grouped = groups.union(groups.select(F.col("grp").alias("node"), "grp").distinct())
     members = stored(sets.join(grouped, sets.doc_id == grouped.node).select("doc_id", "n_shingles", "key_a", "key_b", "grp"), "members")
     equal = members.groupBy("grp", "n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))

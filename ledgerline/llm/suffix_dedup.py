@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import bytes_of, n_bytes, parts_for, small_batches, stored
 
 LENGTH, GRAM = 200, 64
+#: Segments of a range of anchors that one task takes; a range has about a third of that.
+RANGE_ELEMENTS = 2_000_000
 #: Bytes of text for each range of anchors; of segments in a shard; of text hashed at a time.
 RANGE_BYTES, SHARD_BYTES, STEP = 32 << 20, 4 << 20, 256 << 10
 
@@ -108,7 +110,7 @@ def segments(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     first, anchor, own = window[new], anchor[new], own[new]
     spread = last - first
     key = _prints(sums, first, last + length) + mix((spread.astype(np.uint64) << np.uint64(20)) + (anchor - first).astype(np.uint64))
-    return own, first - (ends - sizes)[own], spread, anchor - first, grams[anchor], mix(key)
+    return own, first - (ends - sizes)[own], spread, anchor - first, mix(grams[anchor]), mix(key)
 
 
 _ELEMENT = np.dtype([("anchor", "<u8"), ("key", "<u8"), ("row", "<i8"), ("first", "<u4"), ("spread", "<u2")])
@@ -141,32 +143,96 @@ def _anchored(rows: DataFrame, length: int, gram: int, ranges: int) -> DataFrame
 SPANS = "row_id long, first int, stop int, anchor long"
 
 
-def _met(elements: DataFrame, length: int) -> DataFrame:
-    """SPANS of the segments whose anchor occurs again."""
+def _blobs(tables) -> np.ndarray:
+    return np.concatenate([np.zeros(0, _ELEMENT), *(np.frombuffer(x, _ELEMENT) for t in tables for x in t.column("elements").to_pylist())])
 
-    def run(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = np.concatenate([np.frombuffer(x, _ELEMENT) for t in tables for x in t.column("elements").to_pylist()])
+
+def _grouped(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements by anchor and key, where each key begins, and where each anchor does."""
+    flat = flat[np.lexsort((flat["first"], flat["row"], flat["key"], flat["anchor"]))]
+    anchors = np.diff(flat["anchor"], prepend=~flat["anchor"][:1]) != 0
+    keys = anchors | (np.diff(flat["key"], prepend=~flat["key"][:1]) != 0)
+    return flat, np.flatnonzero(keys), np.flatnonzero(anchors)
+
+
+def _spans(flat: np.ndarray, length: int, compared: bool) -> pa.RecordBatch:
+    stop = flat["first"].astype(np.int64) + flat["spread"] + length
+    anchor = pa.array(flat["anchor"].view(np.int64)) if compared else pa.nulls(len(flat), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(flat["row"].copy()), pa.array(flat["first"].astype(np.int32)), pa.array(stop.astype(np.int32)), anchor], ["row_id", "first", "stop", "anchor"])
+
+
+def _each(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _met(elements: DataFrame, length: int, limit: int) -> DataFrame:
+    """SPANS of the segments whose anchor occurs again.
+
+    A range of up to `limit` elements is one task's. A larger one holds an anchor that very many rows
+    share: its elements are dealt by their rows, each share hands on one element of each content with
+    its count up to two, and the contents that repeat go back to the shares.
+    """
+
+    def direct(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = _blobs(tables)
         flat = flat[np.argsort(flat["anchor"], kind="stable")]
-        first = np.diff(flat["anchor"], prepend=~flat["anchor"][:1]) != 0
-        starts = np.flatnonzero(first)
-        flat = flat[np.repeat(np.diff(np.append(starts, len(flat))) > 1, np.diff(np.append(starts, len(flat))))]
-        flat = flat[np.lexsort((flat["first"], flat["row"], flat["key"], flat["anchor"]))]
-        if not len(flat):
-            return
-        anchor_new = np.diff(flat["anchor"], prepend=~flat["anchor"][:1]) != 0
-        key_new = anchor_new | (np.diff(flat["key"], prepend=~flat["key"][:1]) != 0)
-        keys = np.flatnonzero(key_new)
-        same = np.repeat(np.diff(np.append(keys, len(flat))), np.diff(np.append(keys, len(flat))))
-        anchors = np.flatnonzero(anchor_new)
-        kinds = np.add.reduceat(key_new, anchors)
-        many = np.repeat(kinds > 1, np.diff(np.append(anchors, len(flat))))
-        for chosen, compared in ((same > 1, False), (many & key_new, True)):
-            out = flat[chosen]
-            stop = out["first"].astype(np.int64) + out["spread"] + length
-            anchor = pa.array(out["anchor"].view(np.int64)) if compared else pa.nulls(len(out), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out["row"].copy()), pa.array(out["first"].astype(np.int32)), pa.array(stop.astype(np.int32)), anchor], ["row_id", "first", "stop", "anchor"])
-
-    return elements.groupBy("at").applyInArrow(run, SPANS)
+        starts = np.flatnonzero(np.diff(flat["anchor"], prepend=~flat["anchor"][:1]) != 0)
+        sizes = _each(starts, len(flat))
+        flat, keys, anchors = _grouped(flat[np.repeat(sizes > 1, sizes)])
+        same = _each(keys, len(flat))
+        kinds = np.diff(np.append(np.searchsorted(keys, anchors), len(keys)))
+        yield _spans(flat[np.repeat(same > 1, same)], length, False)
+        yield _spans(flat[keys[np.repeat(kinds > 1, kinds)]], length, True)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, shares, blob in zip(*(batch.column(c).to_pylist() for c in ("at", "shares", "elements")), strict=True):
+                flat = np.frombuffer(blob, _ELEMENT)
+                share = mix(flat["row"].view(np.uint64)) % np.uint64(shares)
+                own = [(k, flat[share == k].tobytes()) for k in np.unique(share).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(own), pa.int32()), pa.array([k for k, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], ["at", "share", "elements"])
+
+    def summed(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, keys, _ = _grouped(_blobs(tables))
+        twice = np.minimum(_each(keys, len(flat)), 2).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([flat[keys].tobytes()]), pa.array([twice.tobytes()])], ["at", "elements", "counts"])
+
+    def decided(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = list(tables)
+        flat = _blobs(tables)
+        count = np.frombuffer(b"".join(x for t in tables for x in t.column("counts").to_pylist()), np.uint8)
+        order = np.lexsort((flat["first"], flat["row"], flat["key"], flat["anchor"]))
+        flat, keys, anchors = _grouped(flat)
+        n = np.add.reduceat(count[order].astype(np.int64), keys) if len(keys) else count
+        kinds = np.diff(np.append(np.searchsorted(keys, anchors), len(keys)))
+        met = np.repeat(kinds > 1, kinds)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([flat[keys[n > 1]].tobytes()]), pa.array([flat[keys[met]].tobytes()])], ["at", "whole", "compared"]
+        )
+
+    def returned(key: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
+        flat = _blobs(own.to_batches())
+        whole = np.frombuffer(b"".join(told.column("whole").to_pylist()), _ELEMENT)
+        pair = lambda x: mix(x["anchor"]) ^ x["key"]
+        return pa.Table.from_batches([_spans(flat[np.isin(pair(flat), pair(whole))], length, False)])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("compared").to_pylist():
+                yield _spans(np.frombuffer(blob, _ELEMENT), length, True)
+
+    held = elements.groupBy("at").agg(F.sum(F.octet_length("elements")).alias("n")).withColumn("shares", F.ceil(F.col("n") / (limit * _ELEMENT.itemsize)).cast("int"))
+    held = stored(held, "ranges")
+    light = elements.join(held.where("shares <= 1").select("at"), "at").groupBy("at").applyInArrow(direct, SPANS)
+    heavy = held.where("shares > 1").select("at", "shares")
+    if heavy.isEmpty():
+        return light
+    dealt = stored(elements.join(heavy, "at").select("at", "shares", "elements").mapInArrow(deal, "at int, share int, elements binary"), "shares")
+    sums = dealt.groupBy("at", "share").applyInArrow(summed, "at int, elements binary, counts binary")
+    told = stored(sums.groupBy("at").applyInArrow(decided, "at int, whole binary, compared binary"), "told")
+    copies = told.join(heavy, "at").withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))).select("at", "share", "whole")
+    back = dealt.groupBy("at", "share").cogroup(copies.groupBy("at", "share")).applyInArrow(returned, SPANS)
+    return light.unionByName(back).unionByName(told.mapInArrow(listed, SPANS))
 
 
 def suffix_array(raw: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -329,7 +395,7 @@ def _compared(segs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     return found.where("print is null").select("row_id", "first", "stop").unionByName(crossed)
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, range_elements: int = RANGE_ELEMENTS) -> DataFrame:
     """All rows of `docs` with `spans`: the stretches (first, stop) of their UTF-8 bytes that repeat.
 
     Spans may overlap and are in no order; null where there are none.
@@ -337,8 +403,8 @@ def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_by
     rows = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
     texts = rows.select("row_id", F.col("text").cast("string").alias("text")).where(f"octet_length(text) >= {length}")
     ranges = parts_for(n_bytes(docs), RANGE_BYTES)
-    elements = _anchored(texts, length, gram, ranges)
-    met = stored(_met(elements, length), "spans")
+    elements = stored(_anchored(texts, length, gram, ranges), "anchors")
+    met = stored(_met(elements, length, range_elements), "spans")
     wanted = met.where("anchor is not null")
     whole = met.where("anchor is null").select("row_id", "first", "stop")
     shared = _compared(stored(_cut(texts, wanted), "segments"), length, shard_bytes)
@@ -365,7 +431,7 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(kept) + text[at:]
 
 
-def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, range_elements: int = RANGE_ELEMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what remains, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +445,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = with_spans(docs, length, gram, shard_bytes)
+    found = with_spans(docs, length, gram, shard_bytes, range_elements)
     return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -131,9 +131,10 @@ def reached(links, nodes):
     return root
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
-def test_jaccard_classes(docs, texts, n, num, monkeypatch):
+@pytest.mark.parametrize(("n", "num", "hashes"), [(3, 90, 12_000_000), (5, 80, 60)])
+def test_jaccard_classes(docs, texts, n, num, hashes, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)  # so that groups are dealt over blocks
+    monkeypatch.setattr(jaccard_join, "SPLIT_HASHES", hashes)
     sets = {}
     for k, t in texts.items():
         words = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
@@ -152,11 +153,11 @@ def test_components(spark):
     assert got == {k: v for k, v in root.items() if k != v}
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 2000])
-def test_repeated_bytes(docs, texts, shard):
+@pytest.mark.parametrize(("shard", "elements"), [(1 << 20, 1 << 20), (2000, 100)])
+def test_repeated_bytes(docs, texts, shard, elements):
     raw = {k: t.encode() for k, t in texts.items()}
     seen = Counter(x[i : i + 200] for x in raw.values() for i in range(len(x) - 199))
-    for r in suffix_dedup.digests(docs, shard_bytes=shard).collect():
+    for r in suffix_dedup.digests(docs, shard_bytes=shard, range_elements=elements).collect():
         x = raw[r.doc_id]
         hit = np.zeros(len(x) + 1, np.int8)
         for i in range(len(x) - 199):
