@@ -23,15 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent (tests on one machine) a temporary folder of the session takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _OWN_ROOTS.get(app) or _OWN_ROOTS.setdefault(app, "file://" + tempfile.mkdtemp(prefix="ledgerline-"))
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
