@@ -35,41 +35,102 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
     return out
 
 
+#: Any of these calls for the general way of cutting: other characters, and white space that is not single.
+_ODD = re.compile("[^ -~\n¡-ɏ]|[ \n][ \n]")
+#: Begins a piece that no space precedes; pieces of texts without odd characters are told apart so.
+_BARE = "\0"
+#: A word of Latin letters, with the mark and line end that may follow it: these are matches of their own.
+_SIMPLE = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)(\n?)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level files write each byte: itself where it is visible in Latin-1, else from 256 on."""
+    out, extra = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out.append(chr(b))
+        else:
+            out.append(chr(extra))
+            extra += 1
+    return out
+
+
+_LETTERS = _byte_letters()
+
+
 class PieceTable:
     """Ids of texts by a tokenizers file. `spaced`: white space is part of pieces (byte-level files)."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = 150_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.limit = spaced, limit
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
         self._arrays = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def _pieces(self, text: str) -> list[str]:
-        return SAFE_CUT.split(text) if self.spaced else text.replace("\n", " ").split(" ")
-
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = got.ids
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.rows[piece] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                self.used += len(ids)
-        self._arrays = (np.asarray(self.starts, np.int64), np.asarray(self.sizes, np.int64))
+        """Pieces of a text; of a byte-level file without the space that begins each, or after _BARE."""
+        if not self.spaced:
+            return text.replace("\n", " ").split(" ")
+        if _ODD.search(text) is None and text[-1:] != " ":
+            return (_BARE + text.replace("\n", f"\n {_BARE}")).split(" ")
+        return [p[1:] if p[:1] == " " else _BARE + p for p in SAFE_CUT.split(text)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids (four bytes each) of one match of the pre-splitting pattern, straight from the file's merges."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                written = word if word.isascii() and word[0] not in " \n" else "".join([_LETTERS[b] for b in word.encode()])
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], np.uint32).tobytes()
+            self.words[word] = ids
+            if len(self.words) > self.limit:  # words not met since the last time are forgotten
+                self.words, self.older = {}, self.words
+        return ids
+
+    def _ids(self, piece: str) -> bytes | None:
+        """Ids of a simple piece; None where the whole pipeline of the file has to see it."""
+        found = _SIMPLE.fullmatch(piece)
+        if found is None:
+            return None
+        space, word, mark, line = found.groups()
+        if self.spaced:
+            ids = self._word(space + word)
+        elif space or line:
+            return None
+        else:
+            ids = self._word(word.lower())
+        if mark:
+            ids += self._word(mark)
+        return ids + self._word(line) if line else ids
+
+    def _learn(self, keys: list[str]) -> None:
+        new = [k[1:] if k[:1] == _BARE else " " + k for k in keys] if self.spaced else keys
+        known = [self._ids(p) for p in new]
+        hard = [k for k, ids in enumerate(known) if ids is None]
+        for at in range(0, len(hard), 4096):
+            part = hard[at : at + 4096]
+            for k, got in zip(part, self.tokenizer.encode_batch_fast([new[k] for k in part], add_special_tokens=False), strict=True):
+                known[k] = np.array(got.ids, np.uint32).tobytes()
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys)), strict=True))
+        self.used += len(flat)
+        self._arrays = tuple(np.concatenate([a, b]) for a, b in zip(self._arrays, (starts, sizes), strict=True))
 
     def _segment_ids(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.rows) > self.limit:
