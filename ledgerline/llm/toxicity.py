@@ -35,7 +35,7 @@ from .common import small_batches, texts_of
 
 CHAIN = 256
 #: Documents of each class, and characters of a document, that may train the field.
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+SAMPLE, SAMPLE_CHARS = 1000, 10_000
 ROUNDS, RATE, RIDGE = 40, 0.5, 1.0
 THRESHOLD = 0.3
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -124,8 +124,9 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.nd
 
 def token_labels(texts: list[str], toxic: list[int]) -> tuple[list[list[str]], dict[str, bool]]:
     """Words of the texts, and whether each is toxic where its document is."""
-    words = [t.split() for t in texts]
-    shapes = {w: forms(w) for own in words for w in own}
+    once: dict[str, str] = {}
+    words = [[once.setdefault(w, w) for w in t.split()] for t in texts]
+    shapes = {w: forms(w) for w in once}
     n0, n1 = toxic.count(0), toxic.count(1)
 
     def telling(kind: str, done: set) -> set:
@@ -155,8 +156,11 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
         return Field({}, -30.0, np.zeros(4))
     words, is_toxic = token_labels(texts, toxic)
     vocab = {w: k for k, w in enumerate(is_toxic)}
-    feats: dict[str, int] = {}
-    shape = [np.array([feats.setdefault(f, len(feats)) for f in forms(w)]) for w in vocab]
+    # Forms of a single word and token add nothing to the others; they get no weight.
+    often = Counter(f for w, n in Counter(w for own in words for w in own).items() for f in forms(w) for _ in range(min(n, 2)))
+    feats: dict[str, int] = {"": 0}
+    shape = [np.array([feats.setdefault(f, len(feats)) if often[f] > 1 else 0 for f in forms(w)]) for w in vocab]
+    del often
     width = np.array([len(s) for s in shape])
     flat, first = np.concatenate(shape), np.cumsum(width) - width
     token = np.array([vocab[w] for own in words for w in own])
@@ -183,6 +187,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
         miss = (gold - p).reshape(-1)[at]
         per_word = np.bincount(token, miss, len(vocab))
         step = np.bincount(flat, np.repeat(per_word, width), len(feats)) - RIDGE * weights
+        step[0] = 0.0  # rare forms stay without a weight, as unknown ones do
         # Joint probabilities of neighbours, from the odds before the pair and after it.
         a, b = ahead[:, :-1], grid[:, 1:] + back[:, 1:]
         joint = np.stack([np.full_like(a, moves[0]), moves[1] + b, moves[2] + a, moves[3] + a + b])
@@ -195,7 +200,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
         weights = weights + RATE * step / np.sqrt(grown[0])
         moves = moves + RATE * pull / np.sqrt(grown[1])
         bias += RATE * lift / np.sqrt(grown[2])
-    kept = {f: float(weights[k]) for f, k in feats.items() if abs(weights[k]) > 1e-3}
+    kept = {f: float(weights[k]) for f, k in feats.items() if f and abs(weights[k]) > 1e-3}
     return Field(kept, float(bias), moves)
 
 
