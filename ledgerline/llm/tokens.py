@@ -61,7 +61,7 @@ _LETTERS = _byte_letters()
 class PieceTable:
     """Ids of texts by a tokenizers file. `spaced`: white space is part of pieces (byte-level files)."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = 250_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
