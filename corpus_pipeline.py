@@ -21,9 +21,9 @@ def _resized(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules and are in the language that they say."""
     # Written first: a filter above the many projections of the verdict would be derived into all of them.
-    judged = stored(quality_rules.judge(docs).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("kept").alias("kept_by_rules")), "judged")
+    judged = stored(quality_rules.judge(docs).select(*[F.col(f"`{c}`") for c in docs.columns], F.expr("kept and not foreign").alias("kept_by_rules")), "judged")
     return judged.where("kept_by_rules").drop("kept_by_rules")
 
 

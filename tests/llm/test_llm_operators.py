@@ -123,6 +123,26 @@ def test_quality_counts(docs, texts):
         assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and not (r.base_failed and r.kept)
 
 
+def test_foreign_texts_are_found(spark):
+    """Gibberish, another language and another script under a label; `kept`, which SQL fixes, sees none."""
+    rng = random.Random(9)
+    tongues = {}
+    for lang in ("en", "fr"):
+        few = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 5))) for _ in range(20)]
+        tongues[lang] = few, ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(900)]
+    own = lambda lang, n: " ".join(rng.choice(tongues[lang][rng.random() > 0.3]) for _ in range(n))
+    noise = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+    rows = [(k, own(lang, rng.randint(100, 600)), lang) for k, lang in enumerate(["en", "fr"] * 60)]
+    bad = [own("fr", 400), noise("abcdefghijklmnopqrstuvwxyz", 400), noise("абвгдежзиклмнопрст", 400), noise("абвгдежзиклмнопрст", 60)]
+    rows += [(900 + k, text, "en") for k, text in enumerate(bad)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [k for k, r in got.items() if r.foreign] == [900, 901, 902, 903]
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()) == list(range(120))
+
+
 def reached(links, nodes):
     root = {k: k for k in nodes}
     for _ in nodes:
