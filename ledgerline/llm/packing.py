@@ -24,8 +24,6 @@ from .common import n_bytes, parts_for
 
 #: Bytes of text in a shard, on average.
 SHARD_BYTES = 4 << 20
-#: Terms of a seed that query the index, those of most weight.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -45,11 +43,12 @@ class Index:
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        by_doc = np.lexsort((term, -self.weight, self.doc))
+        by_doc = np.argsort(self.doc, kind="stable")
         starts = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
-        self.query = [term[by_doc[a : min(b, a + QUERY_TERMS)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        self.query = [term[by_doc[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
     def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all distinct terms of the seed."""
         spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed]]
         if not spans:
             return np.zeros(self.n)

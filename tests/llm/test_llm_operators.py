@@ -90,6 +90,21 @@ def test_bm25_finds_the_neighbour():
     assert np.argsort(-index.scores(0))[:2].tolist() == [0, 2]
 
 
+def test_bm25_asks_with_every_term_of_the_seed():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 600, n) for n in rng.integers(30, 900, 60)]
+    index = packing.Index(np.concatenate(sets), np.array([len(x) for x in sets]))
+    mean, holds = np.mean([len(x) for x in sets]), [Counter(x.tolist()) for x in sets]
+    df = Counter(t for h in holds for t in h)
+    for seed in range(len(sets)):
+        want = np.zeros(len(sets))
+        for d, h in enumerate(holds):
+            norm = packing.K1 * (1 - packing.B + packing.B * len(sets[d]) / mean)
+            want[d] = sum(np.log1p((60 - df[t] + 0.5) / (df[t] + 0.5)) * h[t] * (packing.K1 + 1) / (h[t] + norm) for t in holds[seed] if t in h)
+        assert np.allclose(index.scores(seed), want)
+        assert np.argsort(-index.scores(seed))[:11].tolist() == np.argsort(-want)[:11].tolist()
+
+
 def test_huffman_file_round_trip(spark, docs, texts, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     huffman.write(docs, f"file://{tmp_path}/f", path, end_id=0, part_bytes=20_000)
