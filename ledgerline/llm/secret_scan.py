@@ -2,8 +2,10 @@
 
 Two first-order Markov models over characters are trained from labelled samples, one of random
 strings and one of ordinary identifiers. A run of token characters is a secret where the mean
-log-likelihood ratio of its transitions exceeds a threshold; runs that a pattern's match already
-covers add nothing.
+log-likelihood ratio of its transitions exceeds a threshold. A run that as a whole does not is searched
+for stretches that do, as a key may stand behind a long path or name: its parts between separators, and
+windows of RUN characters by a stricter threshold, for keys that hold separators themselves. Spans that a
+pattern's match already covers add nothing.
 
 Defined cases: a null or empty text has no spans; matches of a kind do not overlap, the leftmost
 counts; spans are in code points, sorted by start and then kind; repeated rows are scanned alike; an
@@ -34,10 +36,13 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Characters of a candidate run, and the least of them.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = 20
+RUN = 16
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN},}}")
 #: Mean log-likelihood ratio for each transition from which a run is a secret.
 THRESHOLD = 0.5
+#: The same for a window within a run, of which there are many; and what separates the parts of a run.
+WINDOW_THRESHOLD = 1.0
+_PART = re.compile(r"[^/_=-]+")
 #: Rows whose words may train the model of ordinary identifiers, and the distinct words taken.
 SAMPLE_ROWS, SAMPLE_WORDS = 2000, 20_000
 
@@ -46,6 +51,10 @@ _CLASS[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 _IN_RUN = _CLASS < len(ALPHABET)
 
 
+def _mixed(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
 @dataclass
 class Model:
     """Log-likelihood ratio of every transition between alphabet characters, random over ordinary."""
@@ -57,6 +66,37 @@ class Model:
         kinds = _CLASS[np.frombuffer(run.encode(), np.uint8)]
         return float(self.ratio[kinds[:-1], kinds[1:]].mean()) if len(kinds) > 1 else 0.0
 
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of what is secret in a run: all of it, or else its parts and windows."""
+        if not _mixed(run):
+            return []
+        kinds = _CLASS[np.frombuffer(run.encode(), np.uint8)]
+        ratio = self.ratio[kinds[:-1], kinds[1:]]
+        if ratio.mean() > self.threshold:
+            return [(0, len(run))]
+        sums = np.concatenate([[0.0], np.cumsum(ratio)])
+        parts = [m.span() for m in _PART.finditer(run)]
+        found = [(a, b) for a, b in parts if b - a >= RUN and sums[b - 1] - sums[a] > self.threshold * (b - 1 - a)]
+        at = np.flatnonzero(sums[RUN - 1 :] - sums[: 1 - RUN] > max(self.threshold, WINDOW_THRESHOLD) * (RUN - 1))
+        for own in np.split(at, np.flatnonzero(np.diff(at) > RUN) + 1) if len(at) else []:
+            # of windows that meet, the stretch of most excess, and all of the parts that it reaches into but plain words at its ends
+            a, b = int(own[0]), int(own[-1]) + RUN
+            rise = sums[a:b] - self.threshold * np.arange(a, b)
+            gain = rise - np.minimum.accumulate(rise)
+            stop = int(gain.argmax())
+            a, b = a + int(rise[: stop + 1].argmin()), a + stop + 1
+            reached = [x for x in parts if x[0] < b and a < x[1]]
+            plain = [y - x >= 6 and sums[y - 1] < sums[x] for x, y in reached]
+            if not all(plain):
+                found.append((reached[plain.index(False)][0], reached[len(plain) - 1 - plain[::-1].index(False)][1]))
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(x for x in found if _mixed(run[x[0] : x[1]])):
+            if merged and a < merged[-1][1]:
+                merged[-1] = merged[-1][0], max(b, merged[-1][1])
+            else:
+                merged.append((a, b))
+        return merged
+
 
 def transitions(samples: list[str]) -> np.ndarray:
     """Smoothed transition probabilities of the samples' characters."""
@@ -128,10 +168,8 @@ def spans(text: str, model: Model) -> list[tuple[int, str, int]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 32]
     base = sorted((a, b) for a, _, b in found)
     for m in _RUN.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, b in base):
-            continue
-        if model.score(m[0]) > model.threshold and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
-            found.append((m.start(), 3, m.end()))
+        own = [(m.start() + a, m.start() + b) for a, b in model.stretches(m[0])]
+        found += [(x, 3, y) for x, y in own if not any(a <= x and y <= b for a, b in base)]
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 

@@ -272,6 +272,29 @@ def test_secrets(docs, spark):
     assert all(r.spans == "" for k, r in rows.items() if k != 999)
 
 
+def test_secrets_within_long_runs():
+    """Keys behind paths and names, with separators of their own, and short ones alone; paths without keys."""
+    rng = random.Random(4)
+    words = "company project service account billing region customer subscription default archive value index return window".split()
+    model = secret_scan.train(secret_scan.random_samples(), secret_scan.identifier_samples(words))
+    path = "company/project/service/account/billing/region/customer/archive/subscription/"
+    kinds = {"0123456789abcdef": 24, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": 24, secret_scan.ALPHABET[:62]: 20, secret_scan.ALPHABET[:62] + "+/": 40, secret_scan.ALPHABET[26:62]: 24}
+    for letters, n in kinds.items():
+        found = 0
+        for _ in range(100):
+            key = "".join(rng.choices(letters, k=n))
+            text = f"see {path}{key} or {'-'.join(words)}"
+            assert len(text) - len(secret_scan.masked(text, secret_scan.spans(text, model), "")) < n + 40
+            found += key not in secret_scan.masked(text, secret_scan.spans(text, model), "#")
+        assert found >= 95
+    short = ["".join(rng.choices(secret_scan.ALPHABET[:62], k=rng.randint(16, 19))) for _ in range(100)]
+    assert sum(bool(secret_scan.spans(f"a {key} b", model)) and secret_scan.suspicious(f"a {key} b".encode()) for key in short) >= 90
+    for _ in range(300):
+        own = rng.choices(words, k=6)
+        for plain in ("/".join(own) + f"/{rng.randint(1, 9999)}", f"{rng.randint(1990, 2030)}/{rng.randint(1, 12):02}/{rng.randint(1, 28):02}/" + "-".join(own), "".join(x.title() for x in own) + "12"):
+            assert not secret_scan.spans(plain, model)
+
+
 def test_toxic_words_are_learned_and_held_out():
     rng = random.Random(2)
 
