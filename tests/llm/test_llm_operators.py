@@ -259,6 +259,21 @@ def test_site_style_tree(spark):
     assert got[8] == got[9] == ("", 0) and got[10] == ("only this", 9)
 
 
+def test_templates_of_a_small_section(spark):
+    """A block on 15% of a large host's pages goes as it does on 4 of 20, and other hosts keep their own."""
+    rng = random.Random(6)
+    box = '<div class="box"><p>Read our guide to the season</p></div>'
+    page = lambda own: f'<body><div class="story"><p>{prose(rng, 12)}</p>{own}</div></body>'
+    rows = [(k, f"http://big.example/{k}", page(box if k < 30 else "")) for k in range(200)]
+    rows += [(300 + k, f"http://small.example/{k}", page(box if k < 4 else "")) for k in range(20)]
+    rows += [(400 + k, f"http://few.example/{k}", page(box if k < 3 else "")) for k in range(20)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got.values())
+    assert sorted(k for k, t in got.items() if "guide" in t) == [400, 401, 402]
+    for k, _, html in rows:
+        assert " ".join(re.search("<p>(.*?)</p>", html)[1].split()) in got[k]
+
+
 def test_secrets(docs, spark):
     model = secret_scan.train(secret_scan.random_samples(), secret_scan.identifier_samples("alpha beta gamma delta value index".split()))
     key = "A8f3kQ0zLw9Xr2Tn7Vb5Jd1Mc6"
