@@ -158,6 +158,17 @@ def test_foreign_texts_are_found(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect()) == list(range(120))
 
 
+def test_every_language_has_its_reference(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = {"en": "abcdef", "fr": "ghijkl", "de": "mnopqr", "es": "stuvwx"}
+    rows = [(k, " ".join("".join(rng.choices(letters[x], k=rng.randint(1, 4))) for _ in range(rng.randint(60, 300))), x) for k, x in enumerate(["en", "fr", "de", "es", "en"] * 25)]
+    docs = spark.createDataFrame([*rows, (900, rows[0][1], None), (901, rows[1][1], "rare"), (902, None, "de")], "doc_id long, text string, lang string").repartition(3)
+    judged = lambda: sorted(map(tuple, quality_rules.judge(docs).drop("text").collect()), key=repr)
+    want = judged()
+    monkeypatch.setattr(quality_rules, "MAX_LANGS", 1)
+    assert judged() == want and len(want) == len(rows) + 3
+
+
 def reached(links, nodes):
     root = {k: k for k in nodes}
     for _ in nodes:
