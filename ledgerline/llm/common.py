@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,10 +30,12 @@ _OWN_ROOTS: dict[str, str] = {}
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    Where the setting is absent (tests on one machine) a temporary folder of the session takes its place.
+    Where the setting is absent, a session on one machine takes a temporary folder; any other must set it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _OWN_ROOTS.get(app) or _OWN_ROOTS.setdefault(app, "file://" + tempfile.mkdtemp(prefix="ledgerline-"))
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -46,12 +49,31 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table of `stored` that no later plan reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files behind tables of `stored` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trimmed(run):
+    """A function over batches that, when it has ended, returns freed memory of the worker to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it keeps what was freed
+        pass
 
 
 def n_bytes(df: DataFrame, column: str = "text") -> int:

@@ -6,14 +6,14 @@ own files do):
 * `codebook`: one row, `lengths` = the code length in bits of every id from 0 on (one byte each,
   0: the id does not occur). Codes are canonical: ordered by (length, id).
 * `blocks`: `part`, `block`, `part_start` (ids of the part before the block),
-  `n_ids`, `doc_ids` (int64),
+  `n_ids`, `doc_ids` (int64), `without_id` (how many of the first of them are null; 0 stands there),
   `sizes` (int64, ids of each document), `payload` (codes, most significant bit first, padded to
   32-bit words) and `marks` (int64, the bit offset of every MARK-th id). All little-endian, except
   that payload words are big-endian. Parts and blocks are in ascending document order, and a block
   holds whole documents, so it decodes alone; marks let its stretches decode side by side.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are written once each,
-ordered by id and content; a null id is kept as -1; an empty table gives an empty file; other columns are not read.
+ordered by id and a hash of the content, those of a null id first; an empty table gives an empty file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -36,7 +35,7 @@ from .common import parts_for, small_batches, stored, texts_of
 MAX_BITS = 20
 #: Ids between two marks, and ids after which a block ends.
 MARK, BLOCK = 1024, 1 << 17
-BLOCKS = "part int, block int, part_start long, n_ids long, doc_ids binary, sizes binary, payload binary, marks binary"
+BLOCKS = "part int, block int, part_start long, n_ids long, without_id long, doc_ids binary, sizes binary, payload binary, marks binary"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -134,36 +133,48 @@ def decode_blocks(payloads: list[bytes], marks: list[np.ndarray], totals: list[i
 
 
 def token_table(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """doc_id and ids (binary; two bytes each where the vocabulary allows, else four) of every row."""
+    """doc_id and ids (binary; `width` bytes each: two where the vocabulary allows, else four) of every
+    row; and rows without ids, but with counts of the ids of the rows before, as 64-bit integers."""
+    vocab = vocabulary(tokenizer_file, end_id)
+    width = 2 if vocab <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = tokens.piece_table(tokenizer_file, spaced=True)
+        names, counts = ["doc_id", "ids", "counts"], np.zeros(vocab, np.int64)
         for batch in small_batches(batches):
             ids, sizes = pieces.encode(texts_of(batch))
-            ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u2" if narrow else "<u4")
             ends = np.cumsum(sizes + 1)
-            blobs = [ids[a:b].tobytes() for a, b in zip(ends - sizes - 1, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
+            flat = np.full(int(ends[-1]), end_id, f"<u{width}")
+            inside = np.ones(len(flat), bool)
+            inside[ends - 1] = False
+            flat[inside] = ids
+            counts += np.bincount(flat, minlength=vocab)
+            raw = flat.tobytes()
+            blobs = [raw[width * a : width * b] for a, b in zip(ends - sizes - 1, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
 
-    narrow = tokens.piece_table(tokenizer_file, spaced=True).tokenizer.get_vocab_size() <= 1 << 16
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
-    return out.withColumn("width", F.lit(2 if narrow else 4))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
+    return out.withColumn("width", F.lit(width))
+
+
+def vocabulary(tokenizer_file: str, end_id: int) -> int:
+    return max(tokens.piece_table(tokenizer_file, spaced=True).tokenizer.get_vocab_size(), end_id + 1)
 
 
 def id_counts(table: DataFrame, vocab: int) -> np.ndarray:
-    """How often each id occurs; the driver gets one number for each id of the vocabulary."""
+    """How often each id occurs, from the counts of the tasks; the driver gets one number for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocab, np.int64)
         for batch in batches:
-            for width in set(batch.column("width").to_pylist()):
-                rows = batch.filter(pc.equal(batch.column("width"), width))
-                counts += np.bincount(np.frombuffer(b"".join(rows.column("ids").to_pylist()), f"<u{width}"), minlength=vocab)
+            for blob in batch.column("counts").to_pylist():
+                counts += np.frombuffer(blob, np.int64)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
     out = np.zeros(vocab, np.int64)
-    for row in table.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in table.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[row.id] = row.n
     return out
 
@@ -172,8 +183,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, part
     """Encode every text and write the file, documents in ascending id order."""
     spark = docs.sparkSession
     table = stored(token_table(docs, tokenizer_file, end_id), "ids")
-    vocab = max(tokens.piece_table(tokenizer_file, spaced=True).tokenizer.get_vocab_size(), end_id + 1)
-    counts = id_counts(table, vocab)
+    counts = id_counts(table, vocabulary(tokenizer_file, end_id))
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
@@ -184,15 +194,16 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, part
 
         def row() -> pa.RecordBatch:
             payload, marks = encode_block(np.concatenate(ids), codes, lengths)
-            values = [part, block, before, held, np.asarray(docs_, "<i8").tobytes(), np.asarray(sizes, "<i8").tobytes(), payload, marks.astype("<i8").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4
+            absent = sum(d is None for d in docs_)  # nulls come first
+            values = [part, block, before, held, absent, np.asarray([0] * absent + docs_[absent:], "<i8").tobytes(), np.asarray(sizes, "<i8").tobytes(), payload, marks.astype("<i8").tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
             for doc, blob, width in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "width")), strict=True):
                 own = np.frombuffer(blob, f"<u{width}")
                 ids.append(own)
-                docs_.append(doc if doc is not None else -1)
+                docs_.append(doc)
                 sizes.append(len(own))
                 held += len(own)
                 if held >= BLOCK:
@@ -202,7 +213,9 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, part
             yield row()
 
     parts = parts_for(2 * int(counts.sum()), part_bytes)
-    table.repartitionByRange(parts, F.col("doc_id").asc()).sortWithinPartitions("doc_id", "ids").mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    # The hash orders the rows of one id, so that these need not be in one part.
+    table = table.where("ids is not null").select("doc_id", "ids", "width", F.xxhash64("ids").alias("content"))
+    table.repartitionByRange(parts, "doc_id", "content").sortWithinPartitions("doc_id", "content").mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -215,11 +228,11 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
             get = lambda c, kind: [np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]  # noqa: B023, E731
             doc_ids, sizes, marks = get("doc_ids", "<i8"), get("sizes", "<i8"), get("marks", "<i8")
             decoded = decode_blocks(batch.column("payload").to_pylist(), marks, [int(s.sum()) for s in sizes], table)
-            for part, before, docs_, n, ids in zip(batch.column("part").to_pylist(), batch.column("part_start").to_pylist(), doc_ids, sizes, decoded, strict=True):
+            for part, before, absent, docs_, n, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "part_start", "without_id")), doc_ids, sizes, decoded, strict=True):
                 ends = np.cumsum(n)
                 raw = ids.astype("<u4").tobytes()
                 blobs = [raw[4 * a : 4 * b] for a, b in zip(ends - n, ends, strict=True)]
-                cols = [pa.array(docs_), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), pa.array(n), pa.array([zlib.crc32(x) for x in blobs], pa.int64())]
+                cols = [pa.array(docs_, mask=np.arange(len(n)) < absent), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), pa.array(n), pa.array([zlib.crc32(x) for x in blobs], pa.int64())]
                 names = ["doc_id", "part", "in_part", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(blobs, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 

@@ -36,30 +36,43 @@ class Index:
         self.n = len(sizes)
         vocab = int(terms.max()) + 1 if len(terms) else 1
         owner = np.repeat(np.arange(self.n, dtype=np.int64), sizes)
-        pairs, tf = np.unique(terms.astype(np.int64) * self.n + owner, return_counts=True)
-        term, self.doc = pairs // self.n, pairs % self.n
-        df = np.bincount(term, minlength=vocab)
-        self.first = np.concatenate([[0], np.cumsum(df)])
+        pairs = np.sort(terms.astype(np.int64) * self.n + owner)
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        tf = np.diff(np.append(first, len(pairs)))
+        self.term, self.doc = np.divmod(pairs[first], self.n)
+        df = np.bincount(self.term, minlength=vocab)
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.vocab = vocab
+        self._first()
         by_doc = np.argsort(self.doc, kind="stable")
         starts = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
-        self.query = [term[by_doc[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        self.query = [self.term[by_doc[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+    def _first(self) -> None:
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=self.vocab))])
+
+    def without(self, used: np.ndarray) -> None:
+        """Drop the postings of used documents; the weights of the others stay."""
+        kept = ~used[self.doc]
+        self.term, self.doc, self.weight = self.term[kept], self.doc[kept], self.weight[kept]
+        self._first()
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for all distinct terms of the seed."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed]]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """BM25 of every document that has postings, for all distinct terms of the seed."""
+        terms = self.query[seed]
+        first, sizes = self.first[terms], self.first[terms + 1] - self.first[terms]
+        ends = np.cumsum(sizes)
+        at = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 def fill(index: Index, sizes: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that fill windows greedily."""
     out, n = [], len(sizes)
     used = np.zeros(n, bool)
-    sequence, offset, after, carry, done = 0, 0, 0, -1, 0
+    sequence, offset, after, carry, done, pruned = 0, 0, 0, -1, 0, n
 
     def place(d: int, start: int) -> int:
         """Put what fits of the document; returns where it was cut, or -1."""
@@ -86,6 +99,9 @@ def fill(index: Index, sizes: np.ndarray, window: int) -> list[tuple[int, int, i
         if carry >= 0 or offset == 0:
             continue
         left = np.flatnonzero(~used)
+        if len(left) < 0.8 * pruned:
+            index.without(used)
+            pruned = len(left)
         scores = index.scores(seed)[left]
         most = min(len(left), 64)
         # the best few first, then everything, should those not fill the window

@@ -1,14 +1,16 @@
 """Token ids of whole texts by public tokenizer files, with work shared between repeated pieces.
 
 A text is cut where the pre-splitting pattern of the tokenizer must start a new match whatever
-surrounds the cut; ids of the pieces then join to the ids of the text. Pieces repeat, so a
-bounded table keeps the ids of those seen; only new ones reach the library.
+surrounds the cut; ids of the parts then join to the ids of the text. The pattern's matches repeat, so
+a bounded table keeps the ids of those seen; only new ones reach the library. Parts with characters
+that the pattern's short form does not know go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from itertools import groupby
 
 import numpy as np
 
@@ -35,123 +37,125 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
     return out
 
 
-#: Any of these calls for the general way of cutting: other characters, and white space that is not single.
-_ODD = re.compile("[^ -~\n¡-ɏ]|[ \n][ \n]")
-#: Begins a piece that no space precedes; pieces of texts without odd characters are told apart so.
-_BARE = "\0"
-#: A word of Latin letters, with the mark and line end that may follow it: these are matches of their own.
-_SIMPLE = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)(\n?)")
+#: Letters of the fast way; a part of a text with any other character than these and visible ASCII goes the whole way.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_ODD = re.compile(rf"[^\n -~{_LETTER}]")
+# The pre-splitting patterns of the two kinds of files, for the characters above.
+_SPACED = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+_BARE = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
 
 
-def _byte_letters() -> list[str]:
-    """The letter by which byte-level files write each byte: itself where it is visible in Latin-1, else from 256 on."""
-    out, extra = [], 256
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
-            out.append(chr(b))
-        else:
-            out.append(chr(extra))
-            extra += 1
-    return out
+def _written() -> dict[int, str]:
+    """For every character up to U+00FF: the letters by which byte-level files write its bytes.
+
+    A byte is itself where it is visible in Latin-1; the others follow from U+0100 on, in order.
+    """
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(seen)))}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
 
+class _Rows(dict):
+    """The row of each match; a new one gets the next row."""
 
-_LETTERS = _byte_letters()
+    def __init__(self, known: list[str] = []):  # noqa: B006
+        super().__init__(zip(known, range(len(known)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, match: str) -> int:
+        row = self[match] = len(self)
+        self.new.append(match)
+        return row
 
 
 class PieceTable:
-    """Ids of texts by a tokenizers file. `spaced`: white space is part of pieces (byte-level files)."""
+    """Ids of texts by a tokenizers file. `spaced`: white space is part of matches (byte-level files).
+
+    The matches of the pre-splitting pattern that texts consist of are looked up in a table of at most
+    `limit` rows, which when full keeps the more frequent half. New ones go to the file's merges.
+    """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.limit = spaced, limit
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self._arrays = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces of a text; of a byte-level file without the space that begins each, or after _BARE."""
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if _ODD.search(text) is None and text[-1:] != " ":
-            return (_BARE + text.replace("\n", f"\n {_BARE}")).split(" ")
-        return [p[1:] if p[:1] == " " else _BARE + p for p in SAFE_CUT.split(text)]
-
-    def _word(self, word: str) -> bytes:
-        """Ids (four bytes each) of one match of the pre-splitting pattern, straight from the file's merges."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.older.get(word)
-            if ids is None:
-                written = word if word.isascii() and word[0] not in " \n" else "".join([_LETTERS[b] for b in word.encode()])
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], np.uint32).tobytes()
-            self.words[word] = ids
-            if len(self.words) > self.limit:  # words not met since the last time are forgotten
-                self.words, self.older = {}, self.words
-        return ids
-
-    def _ids(self, piece: str) -> bytes | None:
-        """Ids of a simple piece; None where the whole pipeline of the file has to see it."""
-        found = _SIMPLE.fullmatch(piece)
-        if found is None:
-            return None
-        space, word, mark, line = found.groups()
-        if self.spaced:
-            ids = self._word(space + word)
-        elif space or line:
-            return None
-        else:
-            ids = self._word(word.lower())
-        if mark:
-            ids += self._word(mark)
-        return ids + self._word(line) if line else ids
-
-    def _learn(self, keys: list[str]) -> None:
-        new = [k[1:] if k[:1] == _BARE else " " + k for k in keys] if self.spaced else keys
-        known = [self._ids(p) for p in new]
-        hard = [k for k, ids in enumerate(known) if ids is None]
-        for at in range(0, len(hard), 4096):
-            part = hard[at : at + 4096]
-            for k, got in zip(part, self.tokenizer.encode_batch_fast([new[k] for k in part], add_special_tokens=False), strict=True):
-                known[k] = np.array(got.ids, np.uint32).tobytes()
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        starts = self.used + np.cumsum(sizes) - sizes
-        self.rows.update(zip(keys, range(len(self.rows), len(self.rows) + len(keys)), strict=True))
-        self.used += len(flat)
-        self._arrays = tuple(np.concatenate([a, b]) for a, b in zip(self._arrays, (starts, sizes), strict=True))
+        self._matches = (_SPACED if spaced else _BARE).findall
+        self._letters = _written()
+        self.rows = _Rows()
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = self.sizes = self.hits = np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Ids of the matches met for the first time, straight from the file's merges."""
+        new, self.rows.new = self.rows.new, []
+        letters = self._letters | {0: "\0"}  # no match holds a zero byte
+        ids: list[int] = []
+        sizes: list[int] = []
+        for word in "\0".join(new).translate(letters).split("\0"):
+            got = self.tokenizer.model.tokenize(word)
+            ids += [t.id for t in got]
+            sizes.append(len(got))
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+
+    def _shrink(self) -> None:
+        keep = np.sort(np.argpartition(-self.hits, self.limit // 2)[: self.limit // 2])
+        self.rows = _Rows(np.array(list(self.rows), object)[keep].tolist())
+        starts, self.sizes, self.hits = self.starts[keep], self.sizes[keep], self.hits[keep] >> 1
+        ends = np.cumsum(self.sizes)
+        self.flat = self.flat[np.repeat(starts - (ends - self.sizes), self.sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.starts = ends - self.sizes
+
+    def _plain_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts without odd characters, and how many each has."""
+        words: list[str] = []
+        counts = np.zeros(len(parts) + 1, np.int64)
+        for k, part in enumerate(parts, 1):
+            words += self._matches(part if self.spaced else part.lower())
+            counts[k] = len(words)
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        if self.rows.new:
+            self._learn()
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        starts, sizes = self.starts[at], self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        if len(self.rows) > self.limit:
+            self._shrink()
+        return ids, np.diff(np.concatenate([[0], ends])[counts])
+
+    def _odd_ids(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of any parts by the whole tokenizer."""
+        out: list[np.ndarray] = []
+        for a in range(0, len(parts), 4096):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(parts[a : a + 4096], add_special_tokens=False)]
+        return out
 
     def _segment_ids(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.rows) > self.limit:
-            self._clear()
-        pieces: list[str] = []
-        counts = np.zeros(len(segs), np.int64)
+        if not any(map(_ODD.search, segs)):
+            return self._plain_ids(segs)
+        parts: list[str] = []  # of each segment, plain and odd stretches between safe cuts
+        odd: list[bool] = []
+        owner: list[int] = []
         for k, s in enumerate(segs):
-            got = self._pieces(s)
-            counts[k] = len(got)
-            pieces += got
-        rows = list(map(self.rows.get, pieces))
-        if None in rows:
-            self._learn(list(dict.fromkeys(p for p, r in zip(pieces, rows, strict=True) if r is None)))
-            rows = list(map(self.rows.get, pieces))
-        at = np.asarray(rows, np.int64)
-        starts, sizes = (a[at] for a in self._arrays)
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
+            if _ODD.search(s) is None:
+                parts, odd, owner = [*parts, s], [*odd, False], [*owner, k]
+                continue
+            for is_odd, run in groupby(SAFE_CUT.split(s), lambda x: _ODD.search(x) is not None):
+                own = list(run) if is_odd else ["".join(run)]
+                parts += own
+                odd += [is_odd] * len(own)
+                owner += [k] * len(own)
+        plain, sizes = self._plain_ids([p for p, o in zip(parts, odd, strict=True) if not o])
+        ends = iter(np.split(plain, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+        hard = iter(self._odd_ids([p for p, o in zip(parts, odd, strict=True) if o]))
+        found = [next(hard) if o else next(ends) for o in odd]
+        counts = np.bincount(owner, [len(x) for x in found], len(segs)).astype(np.int64) if owner else np.zeros(len(segs), np.int64)
+        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another (uint32), and how many each text has."""
@@ -161,8 +165,8 @@ class PieceTable:
                 segs.append(s)
                 owner.append(k)
         out, sizes, at = [], [], 0
-        while at < len(segs):  # a few segments at a time bound the list of pieces
-            stop, room = at, 1 << 21
+        while at < len(segs):  # a few segments at a time bound the list of matches
+            stop, room = at, 1 << 20
             while stop < len(segs) and (stop == at or room >= len(segs[stop])):
                 room -= len(segs[stop])
                 stop += 1

@@ -61,7 +61,7 @@ def test_segments_join_and_cut_safely():
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_piece_table_equals_the_library(texts, name, spaced):
     table = tokens.PieceTable(public_tokenizers.path(name), spaced, limit=50)
-    own = list(texts.values()) + ["<|endoftext|> a", "don't  DO it", "x\n", "\n\nx", " lead", "tail ", "a , b.c,d", "É.", "ßt,\nNext"]
+    own = list(texts.values()) + ["<|endoftext|> a", "don't  DO it", "x\n", "\n\nx", " lead", "tail ", "a , b.c,d", "É.", "ßt,\nNext", "’quote’ naïve — dash", "ª² ½ µm", "İstanbul ΑΣ", "'tis IT'S 'll", "tab\there  x", " " * 5, "word " * 30_000 + "’ x"]
     ids, sizes = table.encode(own)
     expected = [e.ids for e in table.tokenizer.encode_batch(own, add_special_tokens=False)]
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == expected
@@ -115,6 +115,13 @@ def test_huffman_file_round_trip(spark, docs, texts, tmp_path):
         at += len(ids)
 
 
+def test_huffman_file_keeps_null_ids(spark, tmp_path):
+    rows = [(None, "a"), (-1, "b"), (None, "a"), (None, None), (7, "c")]
+    huffman.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/n", public_tokenizers.path("byte_bpe_50k.json"), part_bytes=4)
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in huffman.read(spark, f"file://{tmp_path}/n").collect()), key=lambda r: r[0])
+    assert [d for _, d, _ in got] == [None, None, None, -1, 7] and [a for a, _, _ in got] == [sum(n for *_, n in got[:k]) for k in range(5)]
+
+
 def test_code_lengths_are_optimal_and_limited():
     counts = np.array([2**k for k in range(30)] + [0])
     lengths = huffman.code_lengths(counts, 8)
