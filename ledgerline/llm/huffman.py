@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import parts_for, small_batches, stored, texts_of
+from .common import parts_for, small_batches, stored, texts_of, trimmed
 
 #: No code is longer than this many bits.
 MAX_BITS = 20
@@ -154,8 +154,8 @@ def token_table(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
-    return out.withColumn("width", F.lit(width))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, ids binary, counts binary")
+    return out.withColumns({"width": F.lit(width), "content": F.xxhash64("ids")})
 
 
 def vocabulary(tokenizer_file: str, end_id: int) -> int:
@@ -214,7 +214,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0, part
 
     parts = parts_for(2 * int(counts.sum()), part_bytes)
     # The hash orders the rows of one id, so that these need not be in one part.
-    table = table.where("ids is not null").select("doc_id", "ids", "width", F.xxhash64("ids").alias("content"))
+    table = table.where("ids is not null").select("doc_id", "ids", "width", "content")
     table.repartitionByRange(parts, "doc_id", "content").sortWithinPartitions("doc_id", "content").mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
@@ -224,7 +224,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
-        for batch in small_batches(batches, "payload", 1 << 20):
+        for batch in small_batches(batches, "payload", 4 << 20):
             get = lambda c, kind: [np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]  # noqa: B023, E731
             doc_ids, sizes, marks = get("doc_ids", "<i8"), get("sizes", "<i8"), get("marks", "<i8")
             decoded = decode_blocks(batch.column("payload").to_pylist(), marks, [int(s.sum()) for s in sizes], table)

@@ -39,10 +39,18 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
 
 #: Letters of the fast way; a part of a text with any other character than these and visible ASCII goes the whole way.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_ODD = re.compile(rf"[^\n -~{_LETTER}]")
+_USUAL = bytes(b for b in range(256) if re.match(rf"[\n -~{_LETTER}]", chr(b)))
 # The pre-splitting patterns of the two kinds of files, for the characters above.
-_SPACED = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-_BARE = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
+_SPACED = re.compile(rf" ?[{_LETTER}]++|'(?:[stmd]|re|ve|ll)| ?[0-9]++| ?[^\s{_LETTER}0-9]++|\s+(?!\S)|\s+")
+_BARE = re.compile(rf"[{_LETTER}]++|'(?:[stmd]|re|ve|ll)|[0-9]|[^\s{_LETTER}0-9]++")
+
+
+def is_odd(text: str) -> bool:
+    """Whether a text has characters that only the whole tokenizer knows."""
+    try:
+        return bool(text.encode("latin-1").translate(None, _USUAL))
+    except UnicodeEncodeError:
+        return True
 
 
 def _written() -> dict[int, str]:
@@ -136,19 +144,19 @@ class PieceTable:
         return out
 
     def _segment_ids(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not any(map(_ODD.search, segs)):
+        if not any(map(is_odd, segs)):
             return self._plain_ids(segs)
         parts: list[str] = []  # of each segment, plain and odd stretches between safe cuts
         odd: list[bool] = []
         owner: list[int] = []
         for k, s in enumerate(segs):
-            if _ODD.search(s) is None:
+            if not is_odd(s):
                 parts, odd, owner = [*parts, s], [*odd, False], [*owner, k]
                 continue
-            for is_odd, run in groupby(SAFE_CUT.split(s), lambda x: _ODD.search(x) is not None):
-                own = list(run) if is_odd else ["".join(run)]
+            for whole, run in groupby(SAFE_CUT.split(s), is_odd):
+                own = list(run) if whole else ["".join(run)]
                 parts += own
-                odd += [is_odd] * len(own)
+                odd += [whole] * len(own)
                 owner += [k] * len(own)
         plain, sizes = self._plain_ids([p for p, o in zip(parts, odd, strict=True) if not o])
         ends = iter(np.split(plain, np.cumsum(sizes)[:-1]) if len(sizes) else [])
