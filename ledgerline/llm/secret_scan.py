@@ -1,11 +1,13 @@
 """Secret scans: patterns of known shapes, and strings that look random by character Markov models.
 
-Two first-order Markov models over characters are trained from labelled samples, one of random
-strings and one of ordinary identifiers. A run of token characters is a secret where the mean
+Two first-order Markov models over characters are trained from labelled samples (strings labelled random
+or ordinary), one of each label. The registered query's samples are random strings of the alphabets of keys
+and identifiers composed of the corpus's words; `fit_labelled` takes any table of such rows. A run of token characters is a secret where the mean
 log-likelihood ratio of its transitions exceeds a threshold. A run that as a whole does not is searched
 for stretches that do, as a key may stand behind a long path or name: its parts between separators, and
-windows of RUN characters by a stricter threshold, for keys that hold separators themselves. Spans that a
-pattern's match already covers add nothing.
+windows of RUN characters by a stricter threshold, for keys that hold separators themselves. Letters alone
+need the stricter threshold too, and digits alone are numbers; runs shorter than RUN are never scored, since
+below it the mean ratio does not tell keys from names. Spans that a pattern's match already covers add nothing.
 
 Defined cases: a null or empty text has no spans; matches of a kind do not overlap, the leftmost
 counts; spans are in code points, sorted by start and then kind; repeated rows are scanned alike; an
@@ -17,15 +19,17 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import small_batches, texts_of, trimmed
 
 # The patterns, by kind in the order of the kinds, and what makes a match count.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,6 +46,8 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN},}}")
 THRESHOLD = 0.5
 #: The same for a window within a run, of which there are many; and what separates the parts of a run.
 WINDOW_THRESHOLD = 1.0
+#: The same for a stretch of letters alone.
+LETTERS_THRESHOLD = 1.0
 _PART = re.compile(r"[^/_=-]+")
 #: Rows whose words may train the model of ordinary identifiers, and the distinct words taken.
 SAMPLE_ROWS, SAMPLE_WORDS = 2000, 20_000
@@ -51,8 +57,12 @@ _CLASS[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 _IN_RUN = _CLASS < len(ALPHABET)
 
 
-def _mixed(run: str) -> bool:
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+def _needs(run: str, threshold: float) -> float:
+    """The mean ratio that makes a stretch a secret: more where it has letters alone, as words have; digits
+    alone are numbers whatever they score."""
+    if not any(c.isalpha() for c in run):
+        return np.inf
+    return threshold if any(c.isdigit() for c in run) else max(threshold, LETTERS_THRESHOLD)
 
 
 @dataclass
@@ -68,15 +78,13 @@ class Model:
 
     def stretches(self, run: str) -> list[tuple[int, int]]:
         """(start, end) of what is secret in a run: all of it, or else its parts and windows."""
-        if not _mixed(run):
-            return []
         kinds = _CLASS[np.frombuffer(run.encode(), np.uint8)]
         ratio = self.ratio[kinds[:-1], kinds[1:]]
-        if ratio.mean() > self.threshold:
+        if ratio.mean() > _needs(run, self.threshold):
             return [(0, len(run))]
         sums = np.concatenate([[0.0], np.cumsum(ratio)])
         parts = [m.span() for m in _PART.finditer(run)]
-        found = [(a, b) for a, b in parts if b - a >= RUN and sums[b - 1] - sums[a] > self.threshold * (b - 1 - a)]
+        found = [(a, b) for a, b in parts if b - a >= RUN and sums[b - 1] - sums[a] > _needs(run[a:b], self.threshold) * (b - 1 - a)]
         at = np.flatnonzero(sums[RUN - 1 :] - sums[: 1 - RUN] > max(self.threshold, WINDOW_THRESHOLD) * (RUN - 1))
         for own in np.split(at, np.flatnonzero(np.diff(at) > RUN) + 1) if len(at) else []:
             # of windows that meet, the stretch of most excess, and all of the parts that it reaches into but plain words at its ends
@@ -90,7 +98,7 @@ class Model:
             if not all(plain):
                 found.append((reached[plain.index(False)][0], reached[len(plain) - 1 - plain[::-1].index(False)][1]))
         merged: list[tuple[int, int]] = []
-        for a, b in sorted(x for x in found if _mixed(run[x[0] : x[1]])):
+        for a, b in sorted(x for x in found if sums[x[1] - 1] - sums[x[0]] > _needs(run[x[0] : x[1]], 0.0) * (x[1] - 1 - x[0])):
             if merged and a < merged[-1][1]:
                 merged[-1] = merged[-1][0], max(b, merged[-1][1])
             else:
@@ -108,8 +116,21 @@ def transitions(samples: list[str]) -> np.ndarray:
     return counts / counts.sum(axis=1, keepdims=True)
 
 
-def train(random_strings: list[str], identifiers: list[str], threshold: float = THRESHOLD) -> Model:
-    return Model(np.log(transitions(random_strings) / transitions(identifiers)), threshold)
+def train(samples: list[tuple[str, int]], threshold: float = THRESHOLD) -> Model:
+    """The models of labelled samples: 1 a random string, 0 an ordinary one."""
+    kinds = [[text for text, label in samples if label == k] for k in (1, 0)]
+    return Model(np.log(transitions(kinds[0]) / transitions(kinds[1])), threshold)
+
+
+def labelled(words: list[str]) -> list[tuple[str, int]]:
+    """Labelled samples: strings of the alphabets that keys are written in, and identifiers made of words."""
+    return [(x, 1) for x in random_samples()] + [(x, 0) for x in identifier_samples(words)]
+
+
+def fit_labelled(samples: DataFrame, most: int = 100_000) -> Model:
+    """The models of at most `most` rows (text, label) of a labelled table, in the order of a hash."""
+    rows = samples.where("text is not null and label is not null").orderBy(F.xxhash64("text"), "text").limit(most)
+    return train([(r.text, int(r.label)) for r in rows.select("text", "label").collect()])
 
 
 def random_samples(n: int = 4000, seed: int = 7) -> list[str]:
@@ -148,7 +169,7 @@ def fit(docs: DataFrame) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     words = rows.select(F.explode(F.split("text", r"\s+")).alias("word")).where("word rlike '^[A-Za-z]+$'").distinct()
     words = [r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).collect()]
-    return train(random_samples(), identifier_samples(words))
+    return train(labelled(words))
 
 
 def suspicious(blob: bytes) -> bool:
@@ -166,10 +187,14 @@ def spans(text: str, model: Model) -> list[tuple[int, str, int]]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 32]
-    base = sorted((a, b) for a, _, b in found)
+    starts = sorted(a for a, _, _ in found)
+    reach = list(accumulate((b for _, _, b in sorted(found)), max))  # how far the spans up to each start go
     for m in _RUN.finditer(text):
-        own = [(m.start() + a, m.start() + b) for a, b in model.stretches(m[0])]
-        found += [(x, 3, y) for x, y in own if not any(a <= x and y <= b for a, b in base)]
+        for a, b in model.stretches(m[0]):
+            x, y = m.start() + a, m.start() + b
+            k = bisect_right(starts, x)
+            if not k or reach[k - 1] < y:
+                found.append((x, 3, y))
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
@@ -200,7 +225,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             names = [x.split()[0] for x in SPANS.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {SPANS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id long, {SPANS}")
 
 
 def masked(text: str, found: list[tuple[int, str, int]], mark: str) -> str:
@@ -225,4 +250,4 @@ def mask(docs: DataFrame, model: Model, mark: str = "[secret]") -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
