@@ -213,7 +213,20 @@ def rank_encoding(path: str, pattern: str):
     return _RANKED[path]
 
 
+#: White space (as the rank files' pattern knows it) of a length that the pattern engine should not meet.
+_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
 def rank_ids(encoding, text: str) -> np.ndarray:
-    """Ids of a whole text; a long one goes to the library in segments."""
-    parts = [np.asarray(encoding.encode_ordinary(s), dtype="<u4") for s in segments(text)]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    """Ids of a whole text; a long one goes to the library in segments, and a long run of white space as one
+    piece: the pattern takes it but for its last character, with which the next match may begin."""
+    parts: list[list[int]] = []
+    at = 0
+    for run in _BLANK.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        parts += [encoding.encode_ordinary(s) for s in segments(text[at : run.start()])]
+        parts.append(encoding._encode_single_piece(text[run.start() : stop].encode()))
+        at = stop
+    parts += [encoding.encode_ordinary(s) for s in segments(text[at:])]
+    arrays = [np.asarray(p, dtype="<u4") for p in parts]
+    return arrays[0] if len(arrays) == 1 else np.concatenate(arrays)
