@@ -19,7 +19,7 @@ from .common import stored
 
 SHINGLE, K, BITS = 5, 128, 48
 _DIGITS = BITS // 4
-#: Ids of a span whose neighbours are found together, and spans of a larger one.
+#: Rows of a span whose neighbours are found together, on average over the range of the ids, and spans of a larger one.
 SPAN, SPANS = 1024, 1024
 #: Where rows without an id stand: after all others.
 LAST = -(1 << 63)
@@ -70,8 +70,8 @@ def _following_heads(docs: DataFrame, k: int) -> DataFrame:
     """For every span of ids: text and sketch of the first row (largest id, then largest text) of the
     next lower span that has rows, after the lowest those of the highest.
 
-    Spans are linked within larger ones and these among themselves, so a single task sees one row for
-    a million ids at most. The heads' ids are written before they meet the texts: by the size of that
+    Spans are linked within larger ones and these among themselves. Their width is that of SPAN rows where
+    ids are spread evenly, however densely, so a single task sees one row for about a million. The heads' ids are written before they meet the texts: by the size of that
     table Spark sends it to all tasks or, beyond its limit for that, shuffles.
     """
     ids = docs.groupBy("span").agg(F.max("doc_id").alias("doc_id"))
@@ -90,7 +90,9 @@ def edited_likeness(docs: DataFrame, k: int = K) -> DataFrame:
     """Per document: its sketch, that of its edited text (its last third replaced by the beginning of
     the next document in descending id), and the likeness of its sketch to that and to the next one's."""
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    plain = plain.withColumn("span", F.expr(f"doc_id div {SPAN}"))
+    ids = docs.agg(F.count("doc_id").alias("n"), F.min(F.col("doc_id").cast("long")).alias("low"), F.max(F.col("doc_id").cast("long")).alias("high")).first()
+    width = min((1 << 63) - 1, max(SPAN, (ids.high - ids.low + 1) * SPAN // max(1, ids.n))) if ids.n else SPAN
+    plain = plain.withColumn("span", F.expr(f"doc_id div {width}L"))
     rows = with_sketch(plain, "text", "sketch", k)
     order = Window.partitionBy("span").orderBy(F.desc("doc_id"), F.desc("text"))
     rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
