@@ -1,6 +1,6 @@
 """Lexical retrieval packing of documents into fixed windows of tokens.
 
-Documents are dealt to shards of bounded text by a hash of their id. Each shard builds a BM25
+Documents are dealt to shards of bounded text by a hash of id and text. Each shard builds a BM25
 inverted index over its token ids. A window starts with a seed document (what is left of the
 document cut last, else the smallest unused id); the index returns unused neighbours of the
 seed, best first, which fill the window in that order. The last one is cut where the window
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import n_bytes, parts_for
+from .common import n_bytes, parts_for, trim
 
 #: Bytes of text in a shard, on average.
 SHARD_BYTES = 4 << 20
@@ -152,9 +152,10 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = 4096, end_id: int =
         }
         if with_ids:
             out["ids"] = pa.array(blobs, pa.binary())
+        trim()
         return pa.table(out)
 
     schema = PIECES + ", ids binary" * with_ids
-    return docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(
+    return docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(shards))).groupBy("shard").applyInArrow(
         lambda key, rows: run(key, rows.drop_columns(["shard"])), schema
     )
