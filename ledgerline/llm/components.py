@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +65,7 @@ def connected(links: DataFrame, what: str = "components") -> DataFrame:
         # Stars whose centres are no one's leaves are the components.
         again = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         twice = 0 if again else new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        drop_stored(edges)
         edges = new
         if not again and not twice:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, n_bytes, parts_for, small_batches, stored
+from .common import bytes_of, drop_stored, n_bytes, parts_for, small_batches, stored, trim, trimmed
 from .components import connected, forest
 
 #: Sets and shingles that a tile's block holds on average, at most.
@@ -160,8 +160,9 @@ def _sets(docs: DataFrame, n: int, num: int, ranges: int) -> DataFrame:
                 packed = blobs[0].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
                 values = [None, None, None, None, int(at[a]), packed, blobs[1].tobytes(), counts.astype("<u4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+        _WORDS.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def _led(part: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -198,6 +199,7 @@ def _group_links(blobs: DataFrame, limit: int) -> DataFrame:
 
     def direct(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*_led(*unpacked(tables))[:2])
+        trim()
 
     def shared(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [pa.array([x.tobytes()], pa.binary()) for x in _led(*unpacked(tables))]
@@ -301,6 +303,7 @@ def _links(docs: DataFrame, tiles: DataFrame, n: int, num: int) -> DataFrame:
         for batch in small_batches(batches):
             blobs = pa.array([shingles(t, n).tobytes() for t in bytes_of(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), blobs], ["doc_id", "own"])
+        _WORDS.clear()
 
     def run(_: tuple, rows: pa.Table) -> pa.Table:
         ids = rows.column("doc_id").to_numpy()
@@ -310,7 +313,7 @@ def _links(docs: DataFrame, tiles: DataFrame, n: int, num: int) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     reps = tiles.select("doc_id").distinct()
-    own = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, own binary")
+    own = docs.select("doc_id", "text").join(reps, "doc_id", "left_semi").mapInArrow(trimmed(sets), "doc_id long, own binary")
     # One row of a doc_id is enough: others of that id are members by their own sets.
     return tiles.join(own, "doc_id").groupBy("tile").applyInArrow(run, "a long, b long")
 
@@ -326,6 +329,8 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     both = stored(_sets(docs, n, num, ranges), "sets")
     sets = both.where("at is null").select("doc_id", "n_shingles", "key_a", "key_b")
     groups = connected(_group_links(both.where("at is not null"), SPLIT_HASHES), "groups").withColumnRenamed("component", "grp")
+    sets = stored(sets, "sizes")
+    drop_stored(both)
     grouped = groups.union(groups.select(F.col("grp").alias("node"), "grp").distinct())
     members = stored(sets.join(grouped, sets.doc_id == grouped.node).select("doc_id", "n_shingles", "key_a", "key_b", "grp"), "members")
     equal = members.groupBy("grp", "n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))
