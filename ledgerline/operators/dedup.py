@@ -11,6 +11,19 @@ def index(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy(F.length("piece").cast("long").alias("decoded_len"), "content_hash").agg(F.min("object_id").alias("object_id"))
 
 
+def usable(chunks: DataFrame, reachable: DataFrame, locations: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """The chunks (object_id) that new content may reuse: used at the head, stored somewhere, depending on nothing."""
+    rows = chunks.join(reachable.select("object_id").distinct(), "object_id", "left_semi").join(locations.select("object_id"), "object_id", "left_semi")
+    return rows.join(dependencies.select("object_id").distinct(), "object_id", "left_anti")
+
+
+def mode(asked: str, streams: bool) -> str:
+    """Whether an archive reuses chunks: 'in_archive' or 'off'. One that is also a plain stream never does."""
+    if asked == "in_archive" and streams:
+        raise ValueError("an archive that is a plain stream cannot reuse chunks")
+    return {"auto": "off" if streams else "in_archive", "in_archive": "in_archive", "off": "off"}[asked]
+
+
 def probed(new: DataFrame, stored: DataFrame) -> DataFrame:
     """New pieces with the object whose bytes equal theirs; null where none has them. Pieces that come
     together are not compared with each other."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import paths
-from ledgerline.operators import dedup, health, recovery, retention, segments, timeline
+from ledgerline.operators import audit, dedup, health, recovery, retention, segments, timeline
 from ledgerline.operators import extents as extent_ops
 from ledgerline.sources import catalog_views as views
 from ledgerline.sources.catalog_views import Tables
@@ -18,8 +18,8 @@ from ledgerline.sources.catalog_views import Tables
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-#: The head commit of the test history, and a commit in the middle of it.
-HEAD, MIDDLE = 29, 10
+#: The commit that queries at a commit ask for.
+MIDDLE = 10
 
 # Views that the SQL texts share.
 _VIEWS = {
@@ -35,9 +35,10 @@ _VIEWS = {
         row_number() OVER w - 1 AS ordinal, COALESCE(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS logical_offset
         FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), l_extendedprice)""",
     "versions": "SELECT l_orderkey AS version, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS logical_len FROM lineitem GROUP BY 1",
+    "heads": "SELECT max(seq) AS head FROM raw",
     "commits": "SELECT DISTINCT seq, CASE WHEN seq > 0 THEN seq - 1 END AS parent_seq FROM raw",
-    "roots": "SELECT DISTINCT seq FROM commits WHERE seq = 29 OR seq % 5 = 0 OR seq % 9 = 4",
-    "live": "SELECT e.*, s.seq FROM entries e JOIN commits s ON e.live_from <= s.seq AND (e.live_to IS NULL OR s.seq < e.live_to) WHERE s.seq <= 29",
+    "roots": "SELECT DISTINCT seq FROM commits WHERE seq = (SELECT head FROM heads) OR seq % 5 = 0 OR seq % 9 = 4",
+    "live": "SELECT e.*, s.seq FROM entries e JOIN commits s ON e.live_from <= s.seq AND (e.live_to IS NULL OR s.seq < e.live_to)",
     "marked": "SELECT DISTINCT version FROM live WHERE seq IN (SELECT seq FROM roots)",
     "weighed": "SELECT seq, seq % 7 = 0 AS is_checkpoint, CAST(count(*) * 100 + sum(length(path)) AS BIGINT) AS bytes, min(version) AS first_version FROM ops GROUP BY seq",
     "based": "SELECT *, seq - seq % 7 AS base_seq FROM weighed",
@@ -66,7 +67,10 @@ def _sql(body: str) -> str:
                     used.append(name)
 
     need(body)
-    return ("WITH " + ", ".join(f"{n} AS ({_VIEWS[n]})" for n in used) + " " if used else "") + body
+    views_ = ", ".join(f"{n} AS ({_VIEWS[n]})" for n in used)
+    if body.startswith("WITH "):  # a text with views of its own
+        return f"WITH {views_}, {body[5:]}" if used else body
+    return f"WITH {views_} {body}" if used else body
 
 
 def query(sql: str | None = None):
@@ -86,17 +90,26 @@ def _log(t: Tables) -> DataFrame:
 
 
 def _entries(t: Tables) -> DataFrame:
-    return timeline.intervals(_log(t))
+    return timeline.intervals(views.keyed_ops(t))
 
 
-def _roots(t: Tables) -> DataFrame:
+def kinded_entries(t: Tables) -> DataFrame:
+    """The entries as files, with a directory for each user from its first commit on; users whose number ends
+    in 0 have none, and of those in 5 it is a file."""
+    users = views.keyed_ops(t).where("user_id % 10 <> 0").groupBy("user_id").agg(F.min("seq").alias("live_from"))
+    kind = F.when(F.col("user_id") % 10 == 5, "file").otherwise("directory")
+    tops = users.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), kind.alias("kind"), "live_from", F.lit(None).cast("long").alias("live_to"))
+    return _entries(t).select("path", F.lit("file").alias("kind"), "live_from", "live_to").unionByName(tops)
+
+
+def _roots(t: Tables, head: int) -> DataFrame:
     seqs = views.commits(t).select("seq")
-    return retention.roots(seqs, seqs.where("seq % 5 <> 0"), seqs.where("seq % 9 = 4"), HEAD)
+    return retention.roots(seqs, seqs.where("seq % 5 <> 0"), seqs.where("seq % 9 = 4"), head)
 
 
 def _weighed(t: Tables) -> DataFrame:
     size = F.sum(F.length("path") + 100).alias("bytes")
-    return views.raw_ops(t).groupBy("seq").agg(size, F.min("version").alias("first_version")).withColumn("is_checkpoint", F.col("seq") % 7 == 0)
+    return views.keyed_ops(t).groupBy("seq").agg(size, F.min("version").alias("first_version")).withColumn("is_checkpoint", F.col("seq") % 7 == 0)
 
 
 # Replay and snapshots
@@ -104,17 +117,17 @@ def _weighed(t: Tables) -> DataFrame:
 
 @query("SELECT path, version FROM entries WHERE live_from <= 10 AND (live_to IS NULL OR live_to > 10)")
 def snapshot_at(t):
-    return timeline.snapshot(_log(t), MIDDLE)
+    return timeline.snapshot(views.keyed_ops(t, MIDDLE))
 
 
 @query("SELECT seq, count(*) AS entries, count(DISTINCT version) AS versions FROM live GROUP BY seq")
 def snapshot_all_counts(t):
-    return timeline.in_snapshots(_entries(t), HEAD).groupBy("seq").agg(F.count("*").alias("entries"), F.countDistinct("version").alias("versions"))
+    return timeline.counts(_entries(t), views.head(t))
 
 
 @query("SELECT e.path, e.version, v.logical_len FROM entries e JOIN versions v ON e.version = v.version WHERE e.live_to IS NULL AND (e.path = 'u7' OR starts_with(e.path, 'u7/') OR starts_with(e.path, 'u1'))")
 def list_under(t):
-    entries = timeline.snapshot(_log(t), HEAD).where(paths.within("path", "u7") | F.col("path").startswith("u1"))
+    entries = timeline.snapshot(views.keyed_ops(t)).where(paths.within("path", "u7") | F.col("path").startswith("u1"))
     return entries.join(views.file_versions(t), "version").select("path", "version", "logical_len")
 
 
@@ -135,7 +148,7 @@ def path_validity(t):
 
 @query("SELECT path, version FROM entries WHERE live_to IS NULL AND contains(path, '/1')")
 def search_name(t):
-    return timeline.snapshot(_log(t), HEAD).where(F.col("path").contains("/1"))
+    return timeline.snapshot(views.keyed_ops(t)).where(F.col("path").contains("/1"))
 
 
 @query("SELECT page_id, url FROM pages WHERE contains(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'blog')")
@@ -146,20 +159,22 @@ def search_casefold(t):
 @query("SELECT seq, path, version FROM live WHERE seq IN (SELECT seq FROM roots) AND starts_with(path, 'u3')")
 def search_scope_retained(t):
     entries = _entries(t).where(F.col("path").startswith("u3"))
-    return timeline.in_snapshots(entries, HEAD, _roots(t)).select("seq", "path", "version")
+    head = views.head(t)
+    return timeline.in_snapshots(entries, head, _roots(t, head)).select("seq", "path", "version")
 
 
 @query("SELECT r.seq, count(l.path) AS examined, count(l.path) FILTER (WHERE contains(l.path, '/1')) AS hits FROM roots r LEFT JOIN live l ON r.seq = l.seq GROUP BY r.seq")
 def search_coverage(t):
-    rows = timeline.in_snapshots(_entries(t), HEAD, _roots(t))
+    head = views.head(t)
+    rows = timeline.in_snapshots(_entries(t), head, _roots(t, head))
     found = rows.groupBy("seq").agg(F.count("*").alias("examined"), F.count_if(F.col("path").contains("/1")).alias("hits"))
-    return _roots(t).join(found, "seq", "left").na.fill(0, ["examined", "hits"])
+    return _roots(t, head).join(found, "seq", "left").na.fill(0, ["examined", "hits"])
 
 
 @query("SELECT e.path, e.version, v.logical_len FROM entries e JOIN versions v ON e.version = v.version WHERE e.live_to IS NULL AND v.logical_len = 100")
 def search_content(t):
     versions = views.file_versions(t).where("logical_len = 100")
-    return timeline.snapshot(_log(t), HEAD).join(versions, "version").select("path", "version", "logical_len")
+    return timeline.snapshot(views.keyed_ops(t)).join(versions, "version").select("path", "version", "logical_len")
 
 
 @query("SELECT count(*) AS entries, count(DISTINCT path) AS path_count, CAST(min(live_from) AS BIGINT) AS first_seq FROM entries")
@@ -175,12 +190,11 @@ def fault_delete_missing(t):
     return timeline.delete_faults(views.raw_ops(t)).select("seq", "op_seq", "path")
 
 
-@query("""SELECT path, seq FROM live l LEFT JOIN (SELECT 'u' || user_id AS dir, min(seq) AS since FROM raw WHERE user_id % 10 <> 0 GROUP BY 1) d
- ON regexp_replace(l.path, '/[^/]*$', '') = d.dir WHERE d.since IS NULL OR d.since > l.seq""")
+@query("""SELECT path, seq, CASE WHEN d.since IS NULL OR d.since > l.seq THEN 'MISSING_PARENT' ELSE 'PARENT_NOT_DIRECTORY' END AS fault FROM live l
+ LEFT JOIN (SELECT 'u' || user_id AS dir, user_id % 10 = 5 AS is_file, min(seq) AS since FROM raw WHERE user_id % 10 <> 0 GROUP BY ALL) d
+ ON regexp_replace(l.path, '/[^/]*$', '') = d.dir WHERE d.since IS NULL OR d.since > l.seq OR d.is_file""")
 def fault_missing_parent(t):
-    users = views.raw_ops(t).where("user_id % 10 <> 0")
-    directories = users.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")).agg(F.min("seq").alias("since"))
-    return timeline.containment_faults(_entries(t), directories, HEAD)
+    return timeline.containment_faults(kinded_entries(t), views.head(t))
 
 
 @query("SELECT version AS version_id, raw_ordinal, ordinal FROM ext WHERE raw_ordinal <> ordinal + 1")
@@ -199,22 +213,27 @@ def fault_chain(t):
     return timeline.chain_faults(views.commits(t).where("seq % 6 <> 3")).select("seq", "parent_seq")
 
 
-@query("SELECT seq, op_seq, version FROM ops WHERE op = 'put' AND version NOT IN (SELECT version FROM versions)")
+@query("SELECT seq, op_seq, version FROM ops WHERE op = 'put' AND version NOT IN (SELECT version FROM versions WHERE version % 13 <> 5)")
 def fault_unknown_version(t):
-    return views.raw_ops(t).where("op = 'put'").join(views.file_versions(t), "version", "left_anti").select("seq", "op_seq", "version")
+    lost = views.raw_ops(t).where("op = 'put'").join(views.file_versions(t).where("version % 13 <> 5"), "version", "left_anti")
+    return lost.select("seq", "op_seq", "version")
 
 
-@query("SELECT chunk_id, count(DISTINCT version) AS n FROM ext GROUP BY chunk_id HAVING count(DISTINCT version) > 1")
+@query("""SELECT seq, 'chunk' AS kind, chunk_id AS id FROM (SELECT l_orderkey % 30 AS seq, l_partkey * 100000 + l_suppkey AS chunk_id,
+ row_number() OVER (PARTITION BY l_partkey * 100000 + l_suppkey ORDER BY l_orderkey % 30, l_orderkey) AS k FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem)) WHERE k > 1 OR chunk_id % 11 = 0""")
 def strict_introduction(t):
-    return views.extents(t).groupBy("chunk_id").agg(F.countDistinct("version").alias("n")).where("n > 1")
+    listed = views.extent_refs(t).select("version", "chunk_id").distinct()
+    introduced = listed.select((F.col("version") % 30).alias("seq"), F.col("version").alias("place"), F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"))
+    held = introduced.where("id % 11 = 0").select("kind", "id")
+    return audit.introduction_faults(introduced, held)
 
 
-@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier)")
+@query("""SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_partkey % 17 = 3) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 2)""")
 def fault_references(t):
     lines = t.lineitem.select("l_partkey", "l_suppkey")
-    parts = lines.join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti").select("l_partkey")
-    suppliers = lines.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_anti").select("l_partkey")
-    return parts.union(suppliers).distinct()
+    parts, suppliers = t.part.where("p_partkey % 17 <> 3"), t.supplier.where("s_suppkey % 7 <> 2")
+    lost = lines.join(parts.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti").select("l_partkey")
+    return lost.union(lines.join(suppliers.select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_anti").select("l_partkey")).distinct()
 
 
 # Extents and content
@@ -255,7 +274,7 @@ def dedup_stats(t):
     return dedup.statistics(dedup.probed(pieces.where("doc_id % 2 = 1"), pieces.where("doc_id % 2 = 0")))
 
 
-@query("SELECT doc_id, (length(text) - 1) // 512 + 1 AS n_pieces, sha256(text) AS content_hash FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, (length(text) - 1) // 512 + 1 AS n_pieces, length(text) AS n_chars, sha256(text) AS content_hash FROM documents WHERE length(text) > 0")
 def reassemble_hash(t):
     return extent_ops.reassembled(views.pieces(t))
 
@@ -274,17 +293,19 @@ def retention_state(t):
 
 @query("SELECT seq FROM roots")
 def roots(t):
-    return _roots(t)
+    return _roots(t, views.head(t))
 
 
 @query("SELECT version FROM marked")
 def gc_mark_versions(t):
-    return retention.mark(_entries(t), _roots(t), views.extents(t), HEAD)[0]
+    head = views.head(t)
+    return retention.mark(_entries(t), _roots(t, head), views.extent_refs(t), head)[0]
 
 
 @query("SELECT DISTINCT chunk_id FROM ext WHERE version IN (SELECT version FROM marked)")
 def gc_mark_chunks(t):
-    return retention.mark(_entries(t), _roots(t), views.extents(t), HEAD)[1]
+    head = views.head(t)
+    return retention.mark(_entries(t), _roots(t, head), views.extent_refs(t), head)[1]
 
 
 _CHUNKS = "(SELECT chunk_id, sum(length) AS bytes, max(CASE WHEN version IN (SELECT version FROM marked) THEN 1 ELSE 0 END) AS kept FROM ext GROUP BY chunk_id)"
@@ -292,31 +313,32 @@ _CHUNKS = "(SELECT chunk_id, sum(length) AS bytes, max(CASE WHEN version IN (SEL
 
 @query(f"SELECT CASE WHEN kept = 1 THEN 'retained' ELSE 'collectable' END AS class, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM {_CHUNKS} GROUP BY 1")
 def gc_totals(t):
-    everything = views.extents(t).groupBy("chunk_id").agg(F.sum("length").alias("bytes"))
-    return retention.totals(retention.mark(_entries(t), _roots(t), views.extents(t), HEAD)[1], everything, "chunk_id")
+    head = views.head(t)
+    everything = views.extent_refs(t).groupBy("chunk_id").agg(F.sum("length").alias("bytes"))
+    return retention.totals(retention.mark(_entries(t), _roots(t, head), views.extent_refs(t), head)[1], everything, "chunk_id")
 
 
-@query("SELECT seq, 'expired and not held' AS reason FROM commits WHERE seq NOT IN (SELECT seq FROM roots)")
+@query("SELECT seq, 'expired; not the head; no active hold' AS reason FROM commits WHERE seq NOT IN (SELECT seq FROM roots)")
 def gc_collectable(t):
-    return views.commits(t).select("seq").join(_roots(t), "seq", "left_anti").withColumn("reason", F.lit("expired and not held"))
+    return views.commits(t).select("seq").join(_roots(t, views.head(t)), "seq", "left_anti").withColumn("reason", F.lit(retention.REASON))
 
 
 @query("SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS new_seq FROM roots")
 def compaction_mapping(t):
-    return retention.renumbered(_roots(t))
+    return retention.renumbered(_roots(t, views.head(t)))
 
 
 _AT = "(SELECT path, version FROM live WHERE seq = {0})"
 
 
-@query(f"""SELECT path, CASE WHEN b.version IS NULL THEN 'delete' ELSE 'put' END AS op, b.version FROM {_AT.format(10)} a FULL JOIN {_AT.format(29)} b USING (path) WHERE a.version IS DISTINCT FROM b.version""")
+@query(f"""SELECT path, CASE WHEN b.version IS NULL THEN 'delete' ELSE 'put' END AS op, b.version FROM {_AT.format(10)} a FULL JOIN (SELECT path, version FROM entries WHERE live_to IS NULL) b USING (path) WHERE a.version IS DISTINCT FROM b.version""")
 def snapshot_diff(t):
-    return timeline.diff(timeline.snapshot(_log(t), MIDDLE), timeline.snapshot(_log(t), HEAD))
+    return timeline.diff(timeline.two_snapshots(views.keyed_ops(t), MIDDLE))
 
 
 @query(f"""SELECT path, CASE WHEN a.version IS NULL THEN 'missing_left' WHEN b.version IS NULL THEN 'missing_right' ELSE 'changed' END AS difference FROM {_AT.format(5)} a FULL JOIN {_AT.format(10)} b USING (path) WHERE a.version IS DISTINCT FROM b.version""")
 def state_differences(t):
-    return timeline.state_differences(timeline.snapshot(_log(t), 5), timeline.snapshot(_log(t), MIDDLE))
+    return timeline.state_differences(timeline.two_snapshots(views.keyed_ops(t, MIDDLE), 5))
 
 
 # Segments
@@ -368,17 +390,25 @@ def health_latest_evidence(t):
     return health.latest(views.evidence(t))
 
 
-@query("""SELECT n.dimension, n.kind, CASE WHEN status = 'FAIL' THEN 'FAIL' WHEN seq <> 29 THEN 'UNKNOWN' WHEN completed > 1706572800 THEN 'UNKNOWN' WHEN 1706572800 - completed > 36000 THEN 'OVERDUE' ELSE status END AS judgement,
+@query("""SELECT n.dimension, n.kind, CASE WHEN status = 'FAIL' THEN 'FAIL' WHEN seq <> (SELECT head FROM heads) THEN 'UNKNOWN' WHEN completed > 1706572800 THEN 'UNKNOWN' WHEN 1706572800 - completed > 36000 THEN 'OVERDUE' ELSE status END AS judgement,
  EXISTS (SELECT 1 FROM evi f WHERE f.dimension = n.dimension AND f.kind = n.kind AND f.status = 'FAIL') AS ever_failed FROM newest n""")
 def health_judgement(t):
     rows = views.evidence(t)
-    return health.judged(health.latest(rows), rows.where("status = 'FAIL'"), now=1706572800, head=HEAD, limit=36000)
+    return health.judged(health.latest(rows), rows.where("status = 'FAIL'"), now=1706572800, head=views.head(t), limit=36000)
 
 
-@query("SELECT user_id, CASE WHEN max(seq) = 29 THEN 'current' WHEN max(seq) >= 25 THEN 'behind' ELSE 'stale' END AS freshness FROM raw GROUP BY user_id")
+@query("""SELECT user_id AS client, CASE WHEN user_id % 4 = 0 THEN 'UNKNOWN' WHEN user_id % 4 = 1 AND NOT EXISTS (SELECT 1 FROM commits c WHERE 'c' || c.seq = 'c' || (s.seq + s.user_id % 3)) THEN 'FAIL'
+ WHEN user_id % 4 > 1 AND (seq NOT IN (SELECT seq FROM commits) OR user_id % 3 = 1) THEN 'FAIL' ELSE 'PASS' END AS status,
+ CASE WHEN user_id % 4 = 1 THEN CASE WHEN seq + user_id % 3 > (SELECT head FROM heads) THEN 'rolled back or substituted' WHEN seq + user_id % 3 < (SELECT head FROM heads) THEN 'advanced' END
+ WHEN user_id % 4 > 1 AND user_id % 3 = 1 THEN 'substituted' END AS note FROM (SELECT user_id, max(seq) AS seq FROM raw GROUP BY user_id) s""")
 def freshness(t):
-    seen = views.raw_ops(t).groupBy("user_id").agg(F.max("seq").alias("seen"))
-    return seen.select("user_id", F.when(F.col("seen") == HEAD, "current").when(F.col("seen") >= HEAD - 4, "behind").otherwise("stale").alias("freshness"))
+    """What each user saw last, as an anchor: none, a head that the user expects, or the local history."""
+    seen = views.keyed_ops(t).groupBy(F.col("user_id").alias("client")).agg(F.max("seq").alias("seq"))
+    kind = F.when(F.col("client") % 4 == 0, "none").when(F.col("client") % 4 == 1, "user").otherwise("local_history")
+    said = F.when(kind == "user", F.col("seq") + F.col("client") % 3).when(F.col("client") % 3 == 1, -1).otherwise(F.col("seq"))
+    anchors = seen.select("client", kind.alias("kind"), "seq", F.concat(F.lit("c"), said.cast("string")).alias("commit_id"))
+    history = views.commits(t).select("seq", F.concat(F.lit("c"), F.col("seq").cast("string")).alias("commit_id"))
+    return health.freshness(anchors, history, views.head(t))
 
 
 # Recovery, repair, restore
@@ -412,10 +442,10 @@ def restore_collisions(t):
 
 
 @query("""SELECT name, CASE WHEN regexp_matches(name, '[<>:"\\\\|?*\\x00-\\x1f]') THEN 'illegal_character' WHEN regexp_matches(name, '[. ]$') THEN 'trailing_dot_or_space'
- WHEN regexp_matches(lower(name), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])($|\\.)') THEN 'reserved_name' END AS issue
- FROM (SELECT list_extract(string_split(url, '/'), -1) AS name FROM pages UNION ALL SELECT 'con.' || source FROM documents UNION ALL SELECT lang || '.' FROM documents)""")
+ WHEN regexp_matches(lower(name), '^(con|prn|aux|nul|com[1-9¹²³]|lpt[1-9¹²³])[ ]*($|\\.)') THEN 'reserved_name' END AS issue
+ FROM (SELECT list_extract(string_split(url, '/'), -1) AS name FROM pages UNION ALL SELECT 'NUL .' || source FROM documents UNION ALL SELECT 'com²' FROM documents UNION ALL SELECT lang || '.' FROM documents)""")
 def windows_name_issue(t):
-    names = t.pages.select(paths.name("url").alias("name")).union(t.documents.select(F.concat(F.lit("con."), "source"))).union(t.documents.select(F.concat("lang", F.lit("."))))
+    names = t.pages.select(paths.name("url").alias("name")).union(t.documents.select(F.concat(F.lit("NUL ."), "source"))).union(t.documents.select(F.lit("com²"))).union(t.documents.select(F.concat("lang", F.lit("."))))
     return names.select("name", paths.windows_issue("name").alias("issue"))
 
 
@@ -432,18 +462,26 @@ def object_record_join(t):
 
 @query("SELECT (SELECT count(DISTINCT version) FROM live WHERE seq = 10) AS versions, (SELECT count(DISTINCT chunk_id) FROM ext WHERE version IN (SELECT version FROM live WHERE seq = 10)) AS chunks")
 def closure_at_commit(t):
-    versions, chunks = timeline.reachable(timeline.snapshot(_log(t), MIDDLE), views.extents(t))
+    versions, chunks = timeline.reachable(timeline.snapshot(views.keyed_ops(t, MIDDLE)), views.extent_refs(t))
     return versions.agg(F.count("*").alias("versions")).crossJoin(chunks.agg(F.count("*").alias("chunks")))
 
 
-@query("""SELECT o.seq, CAST(count(DISTINCT o.version) * 7 + count(e.version) * 4 + count(DISTINCT o.op_seq) * 3 AS BIGINT) AS work FROM ops o LEFT JOIN ext e ON o.version = e.version GROUP BY o.seq""")
+@query("""SELECT seq, CAST(puts + 2 * chunks + 2 * versions + extents AS BIGINT) AS catalog_lookups, CAST(n + 1 + 2 * chunks + rows_ + versions + extents AS BIGINT) AS catalog_row_mutations,
+ CAST(5 * puts + 4 * (n - puts) AS BIGINT) AS namespace_probes, n AS namespace_entry_mutations FROM (SELECT seq, count(*) AS n, count(*) FILTER (WHERE op = 'put') AS puts FROM raw GROUP BY seq)
+ JOIN (SELECT seq, count(*) AS versions FROM (SELECT version, min(seq) AS seq FROM raw WHERE op = 'put' AND version IN (SELECT version FROM versions) GROUP BY version) GROUP BY seq) USING (seq)
+ JOIN (SELECT seq, count(*) AS extents, count(DISTINCT chunk_id) AS chunks, CAST(sum(CASE WHEN k = 1 THEN chunk_id % 3 + CASE WHEN chunk_id % 2 = 0 THEN 1 ELSE 0 END END) AS BIGINT) AS rows_ FROM
+  (SELECT r.seq, e.chunk_id, row_number() OVER (PARTITION BY r.seq, e.chunk_id) AS k FROM (SELECT version, min(seq) AS seq FROM raw WHERE op = 'put' GROUP BY version) r JOIN ext e ON e.version = r.version) GROUP BY seq) USING (seq)""")
 def manifest_work_bound(t):
-    sizes = views.extents(t).groupBy("version").agg(F.count("*").alias("n"))
-    rows = views.raw_ops(t).join(sizes, "version", "left")
-    return rows.groupBy("seq").agg((F.countDistinct("version") * 7 + F.coalesce(F.sum("n"), F.lit(0)) * 4 + F.countDistinct("op_seq") * 3).alias("work"))
+    """Every commit introduces the versions that it puts first, their extents, and the chunks of these."""
+    ops = views.keyed_ops(t)
+    first = ops.where("op = 'put'").groupBy("version").agg(F.min("seq").alias("seq"))
+    refs = views.extent_refs(t).join(first, "version")
+    versions = first.join(views.file_versions(t).select("version"), "version").select("seq", F.lit("version").alias("kind"), F.lit(0).cast("long").alias("dependencies"), F.lit(False).alias("located"))
+    chunks = refs.select("seq", "chunk_id").distinct().select("seq", F.lit("chunk").alias("kind"), (F.col("chunk_id") % 3).alias("dependencies"), (F.col("chunk_id") % 2 == 0).alias("located"))
+    return audit.work_bound(ops, versions.unionByName(chunks), refs.select("seq"))
 
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in _TABLES))
@@ -455,18 +493,24 @@ def dump_counts(t):
     return out
 
 
-@query("SELECT s.path FROM (SELECT path, version FROM entries WHERE live_to IS NULL) s WHERE s.path IN (SELECT 'u' || user_id || '/1' FROM events) OR starts_with(s.path, 'u5/')")
+@query("""SELECT DISTINCT path FROM (SELECT path FROM entries WHERE live_to IS NULL UNION ALL SELECT DISTINCT 'u' || user_id FROM raw) s
+ WHERE s.path = 'u5' OR starts_with(s.path, 'u5/') OR EXISTS (SELECT 1 FROM raw r WHERE r.user_id % 7 = 3 AND (s.path = 'u' || r.user_id || '/1' OR s.path = 'u' || r.user_id))""")
 def restore_selection(t):
-    chosen = views.raw_ops(t).select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/1")).alias("path")).distinct()
-    live = timeline.snapshot(_log(t), HEAD)
-    exact = live.join(chosen, "path", "left_semi").select("path")
-    return exact.union(live.where(paths.within("path", "u5")).select("path")).distinct()
+    ops = views.keyed_ops(t)
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    entries = timeline.snapshot(ops).select("path").union(ops.select(user.alias("path")).distinct())
+    chosen = ops.where("user_id % 7 = 3").select(F.concat(user, F.lit("/1")).alias("path")).union(t.spark.createDataFrame([("u5",)], "path string")).distinct()
+    return recovery.selected(entries, chosen)
 
 
-@query("SELECT path, 'u' || user_id || '/renamed' AS target, version FROM (SELECT l.*, CAST(regexp_extract(path, '^u([0-9]+)', 1) AS BIGINT) AS user_id FROM live l WHERE seq = 29) WHERE path LIKE '%/0'")
+@query("""SELECT 1 + (SELECT head FROM heads) AS seq, row_number() OVER (ORDER BY path, half) - 1 AS op_seq, op, CASE WHEN half = 0 THEN path ELSE 'u' || user_id || '/renamed' END AS path, CASE WHEN half = 1 THEN version END AS version
+ FROM (SELECT e.path, e.version, CAST(regexp_extract(e.path, '^u([0-9]+)', 1) AS BIGINT) AS user_id FROM entries e WHERE live_to IS NULL AND path LIKE '%/0') CROSS JOIN (VALUES (0, 'delete'), (1, 'put')) h(half, op)""")
 def rename_ops(t):
-    live = timeline.snapshot(_log(t), HEAD).where(F.col("path").like("%/0"))
-    return live.select("path", F.concat(paths.parent("path"), F.lit("/renamed")).alias("target"), "version")
+    ops = views.keyed_ops(t)
+    live = timeline.snapshot(ops)
+    order = Window.orderBy("path")  # the operations of one transaction
+    renames = live.where(F.col("path").like("%/0")).select(F.lit(views.head(t) + 1).cast("long").alias("seq"), F.row_number().over(order).alias("op_seq"), F.lit("rename").alias("op"), "path", F.concat(paths.parent("path"), F.lit("/renamed")).alias("target"), "version")
+    return timeline.expanded(renames, live)
 
 
 @query("SELECT dimension, CAST(max(1706572800 - completed) AS BIGINT) AS oldest_age FROM newest GROUP BY dimension")
@@ -476,5 +520,5 @@ def oldest_evidence(t):
 
 @query("""SELECT seq, CAST(sum(v) OVER (ORDER BY seq) AS BIGINT) AS known_versions FROM (SELECT seq, count(*) AS v FROM (SELECT version, min(seq) AS seq FROM ops WHERE op = 'put' GROUP BY version) GROUP BY seq)""")
 def introduced_versions(t):
-    first = views.raw_ops(t).where("op = 'put'").groupBy("version").agg(F.min("seq").alias("seq")).groupBy("seq").agg(F.count("*").alias("v"))
+    first = views.keyed_ops(t).where("op = 'put'").groupBy("version").agg(F.min("seq").alias("seq")).groupBy("seq").agg(F.count("*").alias("v"))
     return first.select("seq", F.sum("v").over(Window.orderBy("seq")).alias("known_versions"))

@@ -23,26 +23,50 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def raw_ops(t: Tables) -> DataFrame:
-    """seq, op_seq, op, path, version, user_id: the operations as they came, faults included."""
-    ops = t.events.select(
-        F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("long").alias("seq"),
-        "ts",
+FIRST_DAY = "2024-01-01"
+
+
+def keyed_ops(t: Tables, upto: int | None = None) -> DataFrame:
+    """seq, op_seq, op, path, version, user_id: the operations as they came, faults included. op_seq orders the
+    operations of a commit but does not number them, so that no commit has to be in one task.
+
+    `upto` bounds the commits by the time of their events, which reaches the scan.
+    """
+    events = t.events
+    if upto is not None:
+        events = events.where(F.col("ts") < F.date_add(F.lit(FIRST_DAY).cast("date"), upto + 1).cast("timestamp_ntz" if events.schema["ts"].dataType.typeName() == "timestamp_ntz" else "timestamp"))
+    return events.select(
+        F.datediff(F.to_date("ts"), F.lit(FIRST_DAY)).cast("long").alias("seq"),
+        F.struct("ts", "event_id").alias("op_seq"),
         F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.get_json_object("props", "$.k")).alias("path"),
         F.col("event_id").alias("version"),
         "user_id",
     )
-    order = Window.partitionBy("seq").orderBy("ts", "version")
-    return ops.withColumn("op_seq", (F.row_number().over(order) - 1).cast("long")).drop("ts")
+
+
+def raw_ops(t: Tables) -> DataFrame:
+    """The operations of `keyed_ops` with their numbers in the commit as op_seq."""
+    order = Window.partitionBy("seq").orderBy("op_seq")
+    return keyed_ops(t).withColumn("op_seq", (F.row_number().over(order) - 1).cast("long"))
 
 
 def commits(t: Tables) -> DataFrame:
     """seq, parent_seq of every commit that has operations."""
-    seqs = t.events.select(F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("long").alias("seq")).distinct()
+    seqs = t.events.select(F.datediff(F.to_date("ts"), F.lit(FIRST_DAY)).cast("long").alias("seq")).distinct()
     return seqs.withColumn("parent_seq", F.when(F.col("seq") > 0, F.col("seq") - 1))
 
 
+def head(t: Tables) -> int:
+    """The number of the newest commit."""
+    return t.events.agg(F.datediff(F.to_date(F.max("ts")), F.lit(FIRST_DAY))).first()[0]
+
+
+def extent_refs(t: Tables) -> DataFrame:
+    """version, chunk_id, length of every extent, without their order."""
+    return t.lineitem.select(F.col("l_orderkey").alias("version"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("chunk_id"), F.col("l_quantity").cast("long").alias("length"))
+
+
 def file_versions(t: Tables) -> DataFrame:
     """version, logical_len: an order's lines make its length."""
     return t.lineitem.groupBy(F.col("l_orderkey").alias("version")).agg(F.sum(F.col("l_quantity").cast("long")).alias("logical_len"))

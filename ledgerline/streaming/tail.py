@@ -23,6 +23,18 @@ def live_head(ops: DataFrame) -> DataFrame:
     return last.select("path", "last.op", "last.version")
 
 
-def follow(ops: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the head in a table of that name, until what is there now has been read."""
-    return live_head(ops).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def follow(ops: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the changes of the head in a folder, until what is there now has been read: each batch adds the
+    paths that it changed, under its number. Nothing goes through the driver."""
+
+    def add(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return live_head(ops).writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def head(spark: SparkSession, folder: str) -> DataFrame:
+    """path, version of the followed head: of each path the change of the latest batch, if that is a put."""
+    rows = spark.read.schema("path string, op string, version long, batch long").parquet(folder)
+    last = rows.groupBy("path").agg(F.max_by(F.struct("op", "version"), "batch").alias("last"))
+    return last.where("last.op = 'put'").select("path", F.col("last.version").alias("version"))

@@ -9,7 +9,7 @@ def test_streamed_head_equals_snapshot(spark, tmp_path):
     ops = spark.createDataFrame(history, tail.OPS)
     for seq in (2, 0, 1):  # files out of order
         ops.where(f"seq = {seq}").coalesce(1).write.mode("append").parquet(str(tmp_path / "ops"))
-    query = tail.follow(tail.ops_stream(spark, str(tmp_path / "ops"), 1), "head", str(tmp_path / "state"))
+    query = tail.follow(tail.ops_stream(spark, str(tmp_path / "ops"), 1), str(tmp_path / "head"), str(tmp_path / "state"))
     query.awaitTermination(60)
-    got = {(r.path, r.version) for r in spark.table("head").where("op = 'put'").collect()}
+    got = {(r.path, r.version) for r in tail.head(spark, str(tmp_path / "head")).collect()}
     assert got == {(r.path, r.version) for r in timeline.snapshot(ops, 2).collect()} == {("b", 4), ("c", 3)}
