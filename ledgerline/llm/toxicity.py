@@ -29,13 +29,14 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, trimmed
+from .common import lean, small_batches, texts_of, trimmed
 
 CHAIN = 256
 #: Documents of each class, and characters of a document, that may train the field.
@@ -86,12 +87,13 @@ class Emissions(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.sums: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)]
+        self.sums = np.zeros((1, 3))
+        self.new: list[tuple[float, float, float]] = []
 
     def __missing__(self, word: str) -> int:
         get = self.weights.get
-        row = self[word] = len(self.sums)
-        self.sums.append(tuple(sum(get(f, 0.0) for f in kind(word)) for kind in (own_features, left_features, right_features)))
+        row = self[word] = len(self.sums) + len(self.new)
+        self.new.append(tuple(sum(get(f, 0.0) for f in kind(word)) for kind in (own_features, left_features, right_features)))
         return row
 
     def scores(self, words: list[list[str]], bias: float) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +101,11 @@ class Emissions(dict):
         if len(self.sums) > 300_000:
             self._reset()
         sizes = np.array([len(w) for w in words], np.int64)
-        row = np.fromiter((self[w] for own in words for w in own), np.int64, int(sizes.sum()))
+        row = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        if self.new:
+            self.sums, self.new = np.concatenate([self.sums, self.new]), []
         before, after = neighbours(row, sizes)
-        sums = np.array(self.sums)
-        return bias + sums[row, 0] + sums[before, 1] + sums[after, 2], sizes
+        return bias + self.sums[row, 0] + self.sums[before, 1] + self.sums[after, 2], sizes
 
 
 def neighbours(row: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,6 +384,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("probability", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
+    lean(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
