@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,13 @@ from ledgerline.sources.shipping import ship_package
 
 #: Bytes of text (as UTF-8) that one step of a Python worker handles at a time.
 STEP_BYTES = 2 << 20
+#: Rows with texts, and rows of a few numbers, that a Python worker gets at a time.
+BATCH_ROWS, NARROW_ROWS = 2000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,21 +45,32 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def lean(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Python workers get `rows` rows at a time, so that neither side holds many long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def stored(df: DataFrame, what: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Write `df` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    lean(spark, rows)
     path = scratch(spark, what)
     df.write.parquet(path)
+    lean(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(*tables: DataFrame) -> None:
-    """Delete the files behind tables of `stored` that no later plan reads."""
+    """Delete the files behind tables of `stored` that no later plan reads, and let the driver find out which
+    shuffles nothing refers to any more, whose files go then."""
     for df in tables:
         spark = df.sparkSession
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def trimmed(run):
@@ -78,6 +93,7 @@ def trim() -> None:
 
 def n_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a string column over all rows."""
+    lean(df.sparkSession)
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import NARROW_ROWS, drop_stored, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +52,7 @@ def _reduced(links: DataFrame) -> DataFrame:
 def connected(links: DataFrame, what: str = "components") -> DataFrame:
     """node, component (the smallest node reachable) for every node of a link (a, b: long) to another."""
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = stored(_reduced(links).distinct(), what)
+    edges = stored(_reduced(links).distinct(), what, NARROW_ROWS)
     while True:
         # Large star: a node's larger neighbours move to the smallest one it knows.
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

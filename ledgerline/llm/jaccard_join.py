@@ -34,7 +34,7 @@ from .common import bytes_of, drop_stored, n_bytes, parts_for, small_batches, st
 from .components import connected, forest
 
 #: Sets and shingles that a tile's block holds on average, at most.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
 #: Part hashes in each range of them that one task searches, on average.
 RANGE_HASHES = 2_500_000
 #: Hashes of a range beyond which it is dealt over several tasks.
@@ -296,20 +296,34 @@ def _tiles(members: DataFrame, num: int) -> DataFrame:
     return whole.unionByName(parts.select("doc_id", "tile", "block"))
 
 
+def packed(own: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, which tell the shingles of two sets apart, in six bytes each."""
+    short = own >> np.uint64(16)
+    return short[np.diff(short, prepend=~short[:1]) != 0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    raw = np.zeros((len(blob) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return raw.view("<u8")[:, 0]
+
+
 def _links(docs: DataFrame, tiles: DataFrame, n: int, num: int) -> DataFrame:
     """Verified links of the tiles, as a forest of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            blobs = pa.array([shingles(t, n).tobytes() for t in bytes_of(batch)], pa.binary())
+            blobs = pa.array([packed(shingles(t, n)) for t in bytes_of(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), blobs], ["doc_id", "own"])
         _WORDS.clear()
 
     def run(_: tuple, rows: pa.Table) -> pa.Table:
         ids = rows.column("doc_id").to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in rows.column("own").to_pylist()]
+        own = [unpacked(x) for x in rows.column("own").to_pylist()]
         block = np.unique(np.array(rows.column("block").to_pylist(), dtype=str), return_inverse=True)[1]
         a, b = tile_links(ids, own, block, num)
+        del own
+        trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     reps = tiles.select("doc_id").distinct()
@@ -337,6 +351,8 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     tiles = stored(_tiles(equal.select(F.col("rep").alias("doc_id"), "n_shingles", "grp"), num), "tiles")
     links = _links(docs, tiles, n, num)
     copies = members.join(equal, ["grp", "n_shingles", "key_a", "key_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    drop_stored(groups)
     found = connected(links.unionByName(copies), "links")
+    drop_stored(members, tiles)
     out = sets.join(found, sets.doc_id == found.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -130,7 +130,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = 4096, end_id: int =
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         texts = [t or "" for t in rows.column("text").to_pylist()]
-        ids, sizes = tokens.piece_table(tokenizer_file, spaced=False).encode(texts)
+        ids, sizes = tokens.piece_table(tokenizer_file, spaced=False, limit=100_000).encode(texts)
         del texts
         ends = np.cumsum(sizes)
         index = Index(ids, sizes)

@@ -191,11 +191,11 @@ class PieceTable:
 _TABLES: dict[tuple[str, bool], PieceTable] = {}
 
 
-def piece_table(path: str, spaced: bool) -> PieceTable:
+def piece_table(path: str, spaced: bool, limit: int = 250_000) -> PieceTable:
     """One table for each file in a Python worker."""
     key = (path, spaced)
     if key not in _TABLES:
-        _TABLES[key] = PieceTable(path, spaced)
+        _TABLES[key] = PieceTable(path, spaced, limit)
     return _TABLES[key]
 
 
