@@ -34,7 +34,7 @@ from .common import bytes_of, drop_stored, n_bytes, parts_for, small_batches, st
 from .components import connected, forest
 
 #: Sets and shingles that a tile's block holds on average, at most.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 21
+BLOCK_SETS, BLOCK_SHINGLES = 8192, 1 << 22
 #: Part hashes in each range of them that one task searches, on average.
 RANGE_HASHES = 2_500_000
 #: Hashes of a range beyond which it is dealt over several tasks.
@@ -297,14 +297,14 @@ def _tiles(members: DataFrame, num: int) -> DataFrame:
 
 
 def packed(own: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes, which tell the shingles of two sets apart, in six bytes each."""
-    short = own >> np.uint64(16)
-    return short[np.diff(short, prepend=~short[:1]) != 0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The upper 40 bits of sorted hashes, which tell the shingles of two sets apart, in five bytes each."""
+    short = own >> np.uint64(24)
+    return short[np.diff(short, prepend=~short[:1]) != 0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    raw = np.concatenate([raw, np.zeros((len(raw), 3), np.uint8)], axis=1)
     return raw.view("<u8")[:, 0]
 
 
@@ -319,8 +319,9 @@ def _links(docs: DataFrame, tiles: DataFrame, n: int, num: int) -> DataFrame:
 
     def run(_: tuple, rows: pa.Table) -> pa.Table:
         ids = rows.column("doc_id").to_numpy()
-        own = [unpacked(x) for x in rows.column("own").to_pylist()]
         block = np.unique(np.array(rows.column("block").to_pylist(), dtype=str), return_inverse=True)[1]
+        own = [unpacked(x.as_buffer()) for x in rows.column("own")]
+        del rows
         a, b = tile_links(ids, own, block, num)
         del own
         trim()
