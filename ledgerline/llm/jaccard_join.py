@@ -36,9 +36,9 @@ from .components import connected, forest
 #: Sets and shingles that a tile's block holds on average, at most.
 BLOCK_SETS, BLOCK_SHINGLES = 8192, 1 << 22
 #: Part hashes in each range of them that one task searches, on average.
-RANGE_HASHES = 2_500_000
+RANGE_HASHES = 5_000_000
 #: Hashes of a range beyond which it is dealt over several tasks.
-SPLIT_HASHES = 7_500_000
+SPLIT_HASHES = 10_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
@@ -165,16 +165,30 @@ def _sets(docs: DataFrame, n: int, num: int, ranges: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
-def _led(part: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of all texts that agree on a part to the smallest of them, as a forest; parts and that text."""
-    order = np.argsort(part)
-    part, owner = part[order], owner[order]
-    first = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
-    sizes = np.diff(np.append(first, len(part)))
-    lead = np.minimum.reduceat(owner, first) if len(first) else owner
-    to = np.repeat(lead, sizes)
+_OWNER = 24  # bits of a place among a task's texts; the rest of 64 holds a part's hash
+
+
+def _led(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of all texts that agree on a part to the smallest of them, as a forest; parts and that text.
+
+    `keys` are parts with the places of their texts in `ids`, which are sorted: the first of a part's keys
+    is its smallest text's. They are sorted in place.
+    """
+    keys.sort()
+    owner = (keys & np.uint64((1 << _OWNER) - 1)).astype(np.int32)
+    keys >>= np.uint64(_OWNER)
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    lead = owner[first]
+    to = np.repeat(lead, np.diff(np.append(first, len(keys))))
     differ = owner != to
-    return *forest(owner[differ], to[differ]), part[first], lead
+    pairs = np.unique((owner[differ].astype(np.int64) << 32) | to[differ])
+    return *forest(ids[pairs >> 32], ids[pairs & 0xFFFFFFFF]), keys[first], ids[lead]
+
+
+def _keyed(parts: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    if len(ids) >> _OWNER:
+        raise ValueError(f"{len(ids)} texts in one range; lower SPLIT_HASHES")
+    return (parts << np.uint64(_OWNER)) | places.astype(np.uint64)
 
 
 def _group_links(blobs: DataFrame, limit: int) -> DataFrame:
@@ -184,31 +198,35 @@ def _group_links(blobs: DataFrame, limit: int) -> DataFrame:
     dealt over several, which hand on one text for each part.
     """
 
-    def unpacked(tables: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        parts, owners = [], []
-        for rows in tables:
-            for packed, ids, counts in zip(*([x.as_buffer() for x in rows.column(c)] for c in ("parts", "ids", "counts")), strict=True):
-                raw = np.zeros((packed.size // 5, 8), np.uint8)
-                raw[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-                parts.append(raw.view("<u8")[:, 0])
-                owners.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, "<u4")))
-        return np.concatenate(parts), np.concatenate(owners)
+    def gathered(tables: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        held = [x for rows in tables for x in zip(*([v.as_buffer() for v in rows.column(c)] for c in ("parts", "ids", "counts")), strict=True)]
+        counts = [np.frombuffer(c, "<u4") for _, _, c in held]
+        ids, places = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(i, np.int64) for _, i, _ in held)]), return_inverse=True)
+        keys = np.empty(sum(p.size for p, _, _ in held) // 5, np.uint64)
+        at = k = 0
+        for (packed, _, _), n in zip(held, counts, strict=True):
+            raw = np.zeros((packed.size // 5, 8), np.uint8)
+            raw[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+            keys[at : at + len(raw)] = _keyed(raw.view("<u8")[:, 0], np.repeat(places[k : k + len(n)], n), ids)
+            at, k = at + len(raw), k + len(n)
+        return keys, ids
 
     def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def direct(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield links(*_led(*unpacked(tables))[:2])
+        yield links(*_led(*gathered(tables))[:2])
         trim()
 
     def shared(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [pa.array([x.tobytes()], pa.binary()) for x in _led(*unpacked(tables))]
+        found = [pa.array([x.tobytes()], pa.binary()) for x in _led(*gathered(tables))]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *found], ["at", "a", "b", "part", "lead"])
 
     def merged(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [t.to_pydict() for t in tables]
         part, lead = (np.concatenate([np.frombuffer(x, kind) for t in rows for x in t[c]]) for c, kind in (("part", np.uint64), ("lead", np.int64)))
-        yield links(*_led(part, lead)[:2])
+        ids, places = np.unique(lead, return_inverse=True)
+        yield links(*_led(_keyed(part, places, ids), ids)[:2])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
