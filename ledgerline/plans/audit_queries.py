@@ -656,10 +656,8 @@ def operations_by_version(t):
     return rows.where("first_seq % 2 = 0")
 
 
-_WINDOWED = Window.partitionBy("dimension").orderBy(F.desc("completed"), F.desc("event_id"))
-
-
 @query("SELECT dimension, event_id, status FROM evi QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY completed DESC, event_id DESC) <= 3")
 def recent_evidence(t):
-    rows = views.evidence(t).withColumn("k", F.row_number().over(_WINDOWED))
+    order = Window.partitionBy("dimension").orderBy(F.desc("completed"), F.desc("event_id"))
+    rows = views.evidence(t).withColumn("k", F.row_number().over(order))
     return rows.where("k <= 3").select("dimension", "event_id", "status")
