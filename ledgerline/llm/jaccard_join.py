@@ -4,8 +4,11 @@ Every text becomes the set of the 64-bit hashes of its distinct shingles. Three
 
 1. Candidate groups. The sizes of two similar sets differ little, so sets are banded by size. For
    each band the hash space is cut into one part more than the largest symmetric difference that a
-   similar pair can have (and some to spare); such a pair agrees on a whole part. Texts that share the
-   hash of a part in a band come into one group; no pairs are emitted.
+   similar pair can have (and some to spare); such a pair agrees on a whole part, and on as many more as
+   are spare. So each text passes over its most frequent parts, one fewer than it must share with any
+   similar text: in one order of all parts, a similar pair keeps the rarest that it shares. This leaves out
+   passages that many texts quote, which would chain them into one group. Texts that share the hash of a
+   part that both keep come into one group; no pairs are emitted.
 2. Tiles. Texts with equal sets are represented by the smallest id. The representatives of a group
    form one tile, or, in a large group, blocks by size band whose pairs are the tiles, so that a task
    holds a bounded number of sets. Within a tile, bitmaps of hashed shingles bound the overlap of two
@@ -103,9 +106,13 @@ class Bands:
         return most, most + 1 + -(-most // 8) + 8
 
 
-def part_hashes(own: np.ndarray, bands: Bands) -> np.ndarray:
-    """The hashes by which a set meets every set similar to it."""
-    out = []
+def part_hashes(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """The hashes by which a set meets every set similar to it, their lowest bit that of their level; and for
+    levels of either bit, how many of these hashes may be passed over, as long as all sets do so in one order.
+
+    Of the parts that hold something, at most `most` differ from those of a similar set.
+    """
+    out, spare = [], [0, 0]
     band = bands.of(len(own))
     for level in (band, band - 1) if band else (band,):
         most, n = bands.parts(level)
@@ -116,22 +123,38 @@ def part_hashes(own: np.ndarray, bands: Bands) -> np.ndarray:
         part = part[order]
         first = np.flatnonzero(np.diff(part, prepend=np.uint64(n)))
         level_key = np.uint64(level + 1) << np.uint64(40)
-        out.append(mix(np.add.reduceat(sums, first) + mix(level_key + part[first])))
+        found = [mix(np.add.reduceat(sums, first) + mix(level_key + part[first]))]
         if len(first) <= most:  # it may agree with a similar set on empty parts alone
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), part[first])
-            out.append(mix(mix(level_key + empty) ^ _MIX[0]))
-    return np.concatenate(out)
+            found.append(mix(mix(level_key + empty) ^ _MIX[0]))
+        spare[level & 1] = max(0, len(first) - most - 1)
+        out += [(x & ~np.uint64(1)) | np.uint64(level & 1) for x in found]
+    return np.concatenate(out), spare
+
+
+def _five(values: np.ndarray) -> bytes:
+    """The lower 40 bits of each value, in five bytes."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _dealt(to: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each value of `to`: it, where it stands by owner, its owners, and how often each of these occurs."""
+    order = np.lexsort((own, to))
+    cuts = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(to[order[a]]), order[a:b], *np.unique(own[order[a:b]], return_counts=True)
 
 
 def _sets(docs: DataFrame, n: int, num: int, ranges: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n_shingles, set_key) of each text, and blobs of part hashes for
-    each range (at, parts, ids, counts): for every text in the blob, how many of its hashes follow."""
-    schema = "doc_id long, n_shingles long, key_a long, key_b long, at int, parts binary, ids binary, counts binary"
+    each range (at, parts, ids, counts, spare): for every text in the blob, how many of its hashes follow,
+    and how many of all that it has at levels of either bit may be passed over."""
+    schema = "doc_id long, n_shingles long, key_a long, key_b long, at int, parts binary, ids binary, counts binary, spare binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num)
         names = [x.split()[0] for x in schema.split(", ")]
-        kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 3
+        kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.binary()] * 4
         for batch in small_batches(batches, size=4 << 20):
             ids = batch.column("doc_id").to_pylist()
             sets = [shingles(t, n) for t in bytes_of(batch)]
@@ -139,26 +162,22 @@ def _sets(docs: DataFrame, n: int, num: int, ranges: int) -> DataFrame:
             sums = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ _MIX[2]).sum(dtype=np.uint64))) for s in sets]
             keys = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
             empty = [None] * len(ids)
-            cols = [ids, sizes, keys[:, 0], keys[:, 1], empty, empty, empty, empty]
+            cols = [ids, sizes, keys[:, 0], keys[:, 1], *[empty] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
             live = [k for k in range(len(ids)) if sizes[k] and ids[k] is not None]
             if not live:
                 continue
-            hashes = [part_hashes(sets[k], bands) for k in live]
+            hashes, spare = zip(*(part_hashes(sets[k], bands) for k in live), strict=True)
             del sets
+            spare = np.minimum(spare, 255).astype(np.uint8)  # to pass over fewer is always right
             own = np.repeat(np.arange(len(live)), [len(h) for h in hashes])
             flat = np.concatenate(hashes)
             owners = np.array([ids[k] for k in live], np.int64)
-            at = ((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            order = np.lexsort((own, at))
-            flat, own, at = flat[order], own[order], at[order]
-            cuts = np.flatnonzero(np.diff(at, prepend=-1, append=ranges))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                present, counts = np.unique(own[a:b], return_counts=True)
-                blobs = [flat[a:b].astype(np.uint64) * _MIX[0] >> np.uint64(24), owners[present], counts]
-                # 40 bits of the hash tell texts of a range apart; chance agreement only enlarges a group
-                packed = blobs[0].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                values = [None, None, None, None, int(at[a]), packed, blobs[1].tobytes(), counts.astype("<u4").tobytes()]
+            at = (((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+            # 40 bits tell texts of a range apart, one of them the level's; chance agreement only enlarges a group
+            flat = ((flat * _MIX[0] >> np.uint64(24)) & ~np.uint64(1)) | (flat & np.uint64(1))
+            for to, here, present, counts in _dealt(at, own):
+                values = [None, None, None, None, to, _five(flat[here]), owners[present].tobytes(), counts.astype("<u4").tobytes(), spare[present].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
         _WORDS.clear()
 
@@ -191,6 +210,90 @@ def _keyed(parts: np.ndarray, places: np.ndarray, ids: np.ndarray) -> np.ndarray
     return (parts << np.uint64(_OWNER)) | places.astype(np.uint64)
 
 
+def _gathered(tables: Iterator[pa.RecordBatch], *columns: str) -> tuple[np.ndarray, ...]:
+    """Parts, the places of their texts in ids, and ids, of rows of blobs; and for further columns: bytes of
+    each text as the least of its rows (spare), or values of each part."""
+    held = [x for rows in tables for x in zip(*([v.as_buffer() if hasattr(v, "as_buffer") else v.as_py() for v in rows.column(c)] for c in ("parts", "ids", "counts", *columns)), strict=True)]
+    counts = [np.frombuffer(x[2], "<u4") for x in held]
+    ids, places = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x[1], np.int64) for x in held)]), return_inverse=True)
+    parts = np.empty(sum(x[0].size for x in held) // 5, np.uint64)
+    own = np.empty(len(parts), np.int32)
+    more: list[np.ndarray] = []
+    for c in columns:
+        more.append(np.full((len(ids), 2), 255, np.uint8) if c == "spare" else np.empty(len(parts), np.int64))
+    at = k = 0
+    for x, n in zip(held, counts, strict=True):
+        raw = unpacked(x[0])
+        own[at : at + len(raw)] = np.repeat(places[k : k + len(n)], n)
+        parts[at : at + len(raw)] = raw
+        for c, values, v in zip(columns, more, x[3:], strict=True):
+            if c == "spare":
+                np.minimum.at(values, places[k : k + len(n)], np.frombuffer(v, np.uint8).reshape(-1, 2))
+            else:
+                values[at : at + len(raw)] = np.frombuffer(v, "<u2") if c == "often" else v
+        at, k = at + len(raw), k + len(n)
+    return parts, own, ids, *more
+
+
+def _rarest(blobs: DataFrame, limit: int, buckets: int) -> DataFrame:
+    """Blobs (at, parts, ids, counts) without the parts that only one text has, and without those that each
+    text passes over: of its parts at a level the most frequent ones, as many as are spare.
+
+    Frequent stands for a number of texts counted where a range is one task's. Parts of larger ranges count as
+    the rarest, and texts of a bucket above `limit` pass over none; both go on whole.
+    """
+
+    def agreeing(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, own, ids, spare = _gathered(tables, "spare")
+        keys = _keyed(parts, own, ids)
+        del parts, own
+        keys.sort()
+        own = (keys & np.uint64((1 << _OWNER) - 1)).astype(np.int32)
+        keys >>= np.uint64(_OWNER)
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+        often = np.diff(np.append(first, len(keys)))
+        often = np.repeat(np.minimum(often, 65535).astype("<u2"), often)
+        keys, own, often = keys[often > 1], own[often > 1], often[often > 1]
+        bucket = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        cols: list[list] = [[], [], [], [], [], [], []]
+        for to, here, present, counts in _dealt(bucket[own], own):
+            row = (to, key[0].as_py(), _five(keys[here]), ids[present].tobytes(), counts.astype("<u4").tobytes(), spare[present].tobytes(), often[here].tobytes())
+            for c, v in zip(cols, row, strict=True):
+                c.append(v)
+        kinds = [pa.int32()] * 2 + [pa.binary()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "at", "parts", "ids", "counts", "spare", "often"])
+        del keys, own, often
+        trim()
+
+    def kept(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, own, ids, spare, often, at = _gathered(tables, "spare", "often", "at")
+        unit = own.astype(np.int64) * 2 + (parts & np.uint64(1)).astype(np.int64)
+        order = np.lexsort((parts, at, -often, unit))
+        unit = unit[order]
+        first = np.flatnonzero(np.diff(unit, prepend=-1))
+        rank = np.arange(len(unit)) - np.repeat(first, np.diff(np.append(first, len(unit))))
+        order = order[rank >= spare.ravel()[unit]]
+        parts, own, at = parts[order], own[order], at[order]
+        rows = [(to, _five(parts[here]), ids[present].tobytes(), counts.astype("<u4").tobytes()) for to, here, present, counts in _dealt(at, own)]
+        kinds = [pa.int32()] + [pa.binary()] * 3
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["at", "parts", "ids", "counts"])
+        trim()
+
+    held = lambda rows, by: stored(rows.groupBy(by).agg((F.sum(F.octet_length("parts")) > 5 * limit).alias("large")), by + "s")
+    schema = "at int, parts binary, ids binary, counts binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    ranges = held(blobs, "at")
+    found = blobs.join(ranges.where("not large").select("at"), "at").groupBy("at").applyInArrow(agreeing, f"bucket int, {schema}, spare binary, often binary")
+    found = stored(found, "agreeing")
+    texts = held(found, "bucket")
+    rare = found.join(texts.where("not large").select("bucket"), "bucket").groupBy("bucket").applyInArrow(kept, schema)
+    rare = rare.unionByName(found.join(texts.where("large"), "bucket").select(names))
+    rare = stored(rare.unionByName(blobs.join(ranges.where("large"), "at").select(names)), "rarest")
+    drop_stored(found)
+    return rare
+
+
 def _group_links(blobs: DataFrame, limit: int) -> DataFrame:
     """Links (a, b) that join all texts agreeing on a part: each to the smallest of them.
 
@@ -198,28 +301,17 @@ def _group_links(blobs: DataFrame, limit: int) -> DataFrame:
     dealt over several, which hand on one text for each part.
     """
 
-    def gathered(tables: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        held = [x for rows in tables for x in zip(*([v.as_buffer() for v in rows.column(c)] for c in ("parts", "ids", "counts")), strict=True)]
-        counts = [np.frombuffer(c, "<u4") for _, _, c in held]
-        ids, places = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(i, np.int64) for _, i, _ in held)]), return_inverse=True)
-        keys = np.empty(sum(p.size for p, _, _ in held) // 5, np.uint64)
-        at = k = 0
-        for (packed, _, _), n in zip(held, counts, strict=True):
-            raw = np.zeros((packed.size // 5, 8), np.uint8)
-            raw[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-            keys[at : at + len(raw)] = _keyed(raw.view("<u8")[:, 0], np.repeat(places[k : k + len(n)], n), ids)
-            at, k = at + len(raw), k + len(n)
-        return keys, ids
-
     def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def direct(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield links(*_led(*gathered(tables))[:2])
+        parts, own, ids = _gathered(tables)
+        yield links(*_led(_keyed(parts, own, ids), ids)[:2])
         trim()
 
     def shared(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [pa.array([x.tobytes()], pa.binary()) for x in _led(*gathered(tables))]
+        parts, own, ids = _gathered(tables)
+        found = [pa.array([x.tobytes()], pa.binary()) for x in _led(_keyed(parts, own, ids), ids)]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *found], ["at", "a", "b", "part", "lead"])
 
     def merged(_: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,9 +453,11 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80) -> DataFrame:
     ranges = parts_for(n_bytes(docs) // 6 * 24 * (100 - num) // (10 * num), RANGE_HASHES)
     both = stored(_sets(docs, n, num, ranges), "sets")
     sets = both.where("at is null").select("doc_id", "n_shingles", "key_a", "key_b")
-    groups = connected(_group_links(both.where("at is not null"), SPLIT_HASHES), "groups").withColumnRenamed("component", "grp")
     sets = stored(sets, "sizes")
+    rare = _rarest(both.where("at is not null"), SPLIT_HASHES, ranges)
     drop_stored(both)
+    groups = connected(_group_links(rare, SPLIT_HASHES), "groups").withColumnRenamed("component", "grp")
+    drop_stored(rare)
     grouped = groups.union(groups.select(F.col("grp").alias("node"), "grp").distinct())
     members = stored(sets.join(grouped, sets.doc_id == grouped.node).select("doc_id", "n_shingles", "key_a", "key_b", "grp"), "members")
     equal = members.groupBy("grp", "n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))

@@ -206,6 +206,32 @@ def test_jaccard_classes(docs, texts, n, num, hashes, monkeypatch):
     assert got == {k: (len(sets[k]), root[k]) for k in sets}
 
 
+@pytest.mark.parametrize("hashes", [12_000_000, 600])
+def test_quoted_passages_do_not_chain_groups(spark, hashes, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(50)] for _ in range(40)]
+    texts = {}
+    for k in range(160):  # each passage is in eight texts, each text has two passages
+        words = [word() for _ in range(200)]
+        texts[k] = words[:100] + passages[k % 40] + words[100:] + passages[(k * 7 + k // 40) % 40]
+    for k in range(0, 160, 8):  # copies with some words changed, on both sides of the threshold
+        for j in range(3):
+            copy = list(texts[k])
+            for at in rng.sample(range(len(copy)), 4 + 3 * j):
+                copy[at] = word()
+            texts[1000 + 3 * k + j] = copy
+    most, tiles = [], jaccard_join._tiles
+    monkeypatch.setattr(jaccard_join, "_tiles", lambda members, num: (most.append(max(r["count"] for r in members.groupBy("grp").count().collect())), tiles(members, num))[1])
+    monkeypatch.setattr(jaccard_join, "SPLIT_HASHES", hashes)
+    sets = {k: {tuple(t[i : i + 5]) for i in range(len(t) - 4)} for k, t in texts.items()}
+    root = reached([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard_join.classes(docs, 5, 80).collect()} == root
+    if hashes == 12_000_000:
+        assert most[0] <= 40
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)]
