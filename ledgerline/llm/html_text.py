@@ -31,9 +31,8 @@ besides page_id, url and html are not read.
 from __future__ import annotations
 
 import html as html_lib
-import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -259,73 +258,97 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-KINDS = "path long, above long, kind int, feature long, n long, x double, words long, links long, heading int"
+KINDS = "path long, kind int, feature long, n long, x double"
 
 
-def features(tally: dict[str, int]) -> dict[int, int]:
-    """All words of a text by their hashes, and how often each occurs."""
-    return {_WORDS[w]: n for w, n in tally.items()}
+def tallies(words: list[str], owners: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """path, hash of word, n, sum of f log f over pages, in the order of paths and, of a path, of x and n: `words`
+    stand in nodes of single pages by `owners`, whose places among the distinct paths are `paths`."""
+    ids: defaultdict[str, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    hashes = np.fromiter((_WORDS[w] for w in ids), np.int64, len(ids))
+    size = max(1, len(ids))
+    keys, f = np.unique(owners * size + at, return_counts=True)
+    keys, place = np.unique(paths[keys // size] * size + keys % size, return_inverse=True)
+    n = np.bincount(place, f, len(keys)).astype(np.int64)
+    x = np.bincount(place, f * np.log(f), len(keys))
+    order = np.lexsort((n, x, keys // size))
+    return (keys // size)[order], hashes[keys % size][order], n[order], x[order]
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """What the pages show of each node, summed for some pages at a time, in three kinds of rows (KINDS):
-    0: pages that have the node, its words and those in links, and whether a first heading is in it;
-    1: a child sequence of it; 2: a feature of its text, with the sum of f log f over pages."""
+    """What the pages show of each node, summed for some pages at a time, in four kinds of rows (KINDS), which have
+    no columns besides, since rows of words are what the shuffle holds:
+    0: n pages that have the node, x of them with a first heading in it, feature is the path above it;
+    1: n times a child sequence of it; 2: n times a word of its text, with the sum of f log f over pages as x;
+    3: n words in it, x of them in links."""
     names = [x.split()[0] for x in KINDS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
-            seen: dict[tuple, list] = {}  # (path, kind, feature): above, n, x, words, links, heading
+            seen: dict[int, list[int]] = {}  # path: above, pages, with a heading, words, links
+            styles: Counter[tuple[int, int]] = Counter()
+            at: dict[int, int] = {}  # path: its place
+            places: list[int] = []  # by nodes of single pages that hold words directly
+            texts: list[str] = []
+            owners: list[int] = []  # by runs, as their numbers of words
+            sizes: list[int] = []
             for url, text in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host = host_of(url)
                 runs, nodes = parse(text or "", host)
-                words = [r[0].split() for r in runs]
-                counts = np.cumsum([0, *map(len, words)])
-                linked = np.cumsum([0, *(len(w) if r[5] else 0 for w, r in zip(words, runs, strict=True))])
-                direct: dict[int, Counter] = {}
-                for r, own_words in zip(runs, words, strict=True):
-                    if r[3]:
-                        direct.setdefault(r[3][-1], Counter()).update(own_words)
+                counts, linked = [0], [0]
+                direct: dict[int, int] = {}
+                for r in runs:
+                    own_words = r[0].split()
+                    counts.append(counts[-1] + len(own_words))
+                    linked.append(linked[-1] + (len(own_words) if r[5] else 0))
+                    if r[3] and own_words:
+                        owner = direct.get(r[3][-1])
+                        if owner is None:
+                            owner = direct[r[3][-1]] = len(places)
+                            places.append(at.setdefault(r[3][-1], len(at)))
+                        texts += own_words
+                        owners.append(owner)
+                        sizes.append(len(own_words))
                 own: dict[int, list] = {_PATHS["", host]: [0, 0, 0, 0]}
                 for path, above, tags, start, stop, heading in nodes:
                     if counts[stop] == counts[start]:
                         continue
                     here = own.setdefault(path, [above, 0, 0, 0])
-                    here[1] += int(counts[stop] - counts[start])
-                    here[2] += int(linked[stop] - linked[start])
+                    here[1] += counts[stop] - counts[start]
+                    here[2] += linked[stop] - linked[start]
                     here[3] |= heading
-                    style = seen.setdefault((path, 1, _PATHS["child tags", tags]), [above, 0, 0.0, 0, 0, 0])
-                    style[1] += 1
+                    styles[path, _PATHS["child tags", tags]] += 1
                 for path, (above, n, links, heading) in own.items():
-                    page = seen.setdefault((path, 0, 0), [above, 0, 0.0, 0, 0, 0])
+                    page = seen.setdefault(path, [above, 0, 0, 0, 0])
                     page[1] += 1
+                    page[2] += heading
                     page[3] += n
                     page[4] += links
-                    page[5] |= heading
-                    for feature, f in features(direct.get(path, {})).items():
-                        row = seen.setdefault((path, 2, feature), [above, 0, 0.0, 0, 0, 0])
-                        row[1] += f
-                        if f > 1:
-                            row[2] += f * math.log(f)
-            cols = [*zip(*((path, v[0], kind, feature, *v[1:]) for (path, kind, feature), v in seen.items()), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names)
+            rows = [(path, 0, v[0], v[1], v[2]) for path, v in seen.items()] + [(path, 3, 0, v[3], v[4]) for path, v in seen.items()]
+            rows += [(path, 1, style, n, 0) for (path, style), n in styles.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+            if texts:
+                path, feature, n, x = tallies(texts, np.repeat(owners, sizes), np.asarray(places))
+                cols = [np.fromiter(at, np.int64, len(at))[path], np.full(len(n), 2, np.int32), feature, n, x]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names)
 
     return pages.select("url", "html").mapInArrow(trimmed(run), KINDS)
 
 
 def marked(nodes: DataFrame, low: float = LOW) -> DataFrame:
     """path, mark: of the nodes of the site style trees, those that say something about a page's text."""
-    sums = [F.sum(c).alias(c) for c in ("n", "x", "words", "links")]
-    rows = nodes.groupBy("path", "kind", "feature").agg(F.first("above").alias("above"), *sums, F.max("heading").alias("heading"))
-    page, style, feature = (F.col("kind") == k for k in range(3))
+    rows = nodes.groupBy("path", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    page, style, feature, inner = (F.col("kind") == k for k in range(4))
     n = F.col("n").cast("double")
     stats = rows.groupBy("path").agg(
-        F.max("above").alias("above"),
+        F.max(F.when(page, F.col("feature"))).alias("above"),
         F.sum(F.when(page, n)).alias("pages"),
-        F.sum(F.when(page, F.col("words"))).alias("words"),
-        F.sum(F.when(page, F.col("links"))).alias("links"),
-        F.max("heading").alias("heading"),
+        F.sum(F.when(inner, F.col("n"))).alias("words"),
+        F.sum(F.when(inner, F.col("x"))).cast("long").alias("links"),
+        F.max(F.when(page, F.least(F.col("x"), F.lit(1.0)))).cast("int").alias("heading"),
         F.coalesce(F.sum(F.when(style, n)), F.lit(0.0)).alias("shown"),
         F.coalesce(F.sum(F.when(style, n * F.log(n))), F.lit(0.0)).alias("shown_x"),
         F.count_if(style).alias("kinds"),

@@ -372,6 +372,38 @@ def test_every_word_of_a_node_counts(spark):
     assert got == {html_text._hash(w): 4 for w in words}
 
 
+def shuffled_bytes(spark):
+    """Bytes that the stages of the session have written for shuffles so far."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_a_word_of_a_node_takes_few_bytes(spark):
+    """Hashes of words, 8 bytes each, cannot be compressed; all else of a row is to take less than they do."""
+    nodes = html_text.style_nodes(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    n_words = nodes.where("kind = 2").select("path", "feature").distinct().count()
+    before = shuffled_bytes(spark)
+    html_text.marked(nodes).count()
+    assert 8 < (shuffled_bytes(spark) - before) / n_words < 14.5
+
+
+def test_tallies_equal_counters_of_pages():
+    rng = random.Random(13)
+    runs = [(rng.randrange(6), prose(rng, rng.randint(1, 30)).split()) for _ in range(40)]  # node of a page, its words
+    paths = np.asarray([0, 1, 0, 2, 1, 0])
+    each, n, x = {}, Counter(), Counter()
+    for owner, words in runs:
+        each.setdefault(owner, Counter()).update(words)
+    for owner, words in each.items():
+        for w, f in words.items():
+            n[paths[owner], html_text._hash(w)] += f
+            x[paths[owner], html_text._hash(w)] += f * np.log(f)
+    found = html_text.tallies([w for _, words in runs for w in words], np.repeat([o for o, _ in runs], [len(w) for _, w in runs]), paths)
+    assert {(p, w): k for p, w, k, _ in zip(*found, strict=True)} == n and len(found[0]) == len(n)
+    assert all(abs(x[p, w] - y) < 1e-9 for p, w, _, y in zip(*found, strict=True)) and max(x.values()) > 1
+
+
 def test_importance_equals_its_definition(spark):
     """Entropies and shares of every node, computed page by page in another way."""
     rows = site(random.Random(9), 12)
