@@ -31,9 +31,14 @@ def time_of(text: str) -> Column:
     return F.when(good, F.struct(secs.alias("secs"), (number(6) == 60).alias("leap"), number(7).cast("int").alias("nanos")))
 
 
+def stamp(secs: str, fraction: Column) -> Column:
+    """A Unix time with these digits after its seconds, whatever they are."""
+    return F.concat(F.date_format(F.timestamp_seconds(secs), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), fraction, F.lit("Z"))
+
+
 def written_time(secs: str, nanos: str) -> Column:
     """The written form of a Unix time; null where nanoseconds reach a second or the year is beyond 9999."""
-    text = F.concat(F.date_format(F.timestamp_seconds(secs), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(F.col(nanos).cast("string"), 9, "0"), F.lit("Z"))
+    text = stamp(secs, F.lpad(F.col(nanos).cast("string"), 9, "0"))
     return F.when(F.col(nanos).between(0, 999_999_999) & F.col(secs).between(-62_167_219_200, 253_402_300_799), text)
 
 
