@@ -13,6 +13,20 @@ from ledgerline.functions import paths
 
 #: Commits that share a row of wanted snapshots when intervals meet them.
 BLOCK = 64
+#: Rows that are dealt to one task where it holds what it takes.
+TASK_ROWS = 250_000
+
+
+def parts_of(rows: DataFrame) -> int:
+    """How many parts of TASK_ROWS rows a table makes, by a count that the footers of Parquet files answer; up to
+    a part for each core where rows are few."""
+    n = rows.count()
+    return max(1, -(-n // TASK_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, n // 10_000))
+
+
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """The rows in so many parts by their keys, so that no task holds more of a larger table; without a number, as they are."""
+    return rows if parts is None else rows.repartition(parts, *keys)
 
 
 def with_previous(ops: DataFrame) -> DataFrame:
@@ -141,6 +155,27 @@ def differing_snapshots(left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.groupBy("seq").agg(F.count("*").alias("n"))
 
 
+def differing_entries(left: DataFrame, right: DataFrame, seqs: DataFrame) -> DataFrame:
+    """seq, n: what `differing_snapshots` tells of the snapshots of two catalogs at the commits `seqs`, from their
+    entries (path, version, live_from, live_to).
+
+    Intervals that both sides have cancel out; of the rest, the balance of a path's version goes up and down in
+    time, and counts where it is not zero are running sums of where that begins and ends. Nothing is unrolled.
+    """
+    columns = ("path", "version", "live_from", "live_to")
+    both = left.select(*columns, F.lit(1).alias("side")).unionByName(right.select(*columns, F.lit(-1).alias("side")))
+    rest = both.groupBy(*columns).agg(F.sum("side").alias("side")).where("side <> 0")
+    turns = F.explode(F.array(F.struct(F.col("live_from").alias("seq"), F.col("side")), F.struct(F.col("live_to").alias("seq"), (-F.col("side")).alias("side"))))
+    sums = rest.select("path", "version", turns.alias("turn")).where("turn.seq is not null").groupBy("path", "version", "turn.seq").agg(F.sum("turn.side").alias("side"))
+    order = Window.partitionBy("path", "version").orderBy("seq")
+    balance = sums.withColumn("now", F.sum("side").over(order))
+    differs = lambda c: (F.coalesce(c, F.lit(0)) != 0).cast("long")
+    changes = balance.select("seq", (differs(F.col("now")) - differs(F.lag("now").over(order))).alias("n"), F.lit(False).alias("asked"))
+    rows = changes.unionByName(seqs.select("seq", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))).groupBy("seq").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    upto = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("n", F.sum("n").over(upto)).where("asked and n > 0").select("seq", "n")
+
+
 def chain_faults(commits: DataFrame, *archive: str) -> DataFrame:
     """Commits whose parent is not the commit before them, in each archive."""
     chain = commits.withColumn("expected", F.lag("seq").over(Window.partitionBy(*archive).orderBy("seq")))

@@ -47,6 +47,18 @@ def test_intervals_equal_a_fold(spark, history):
     assert {(middle, r.path, r.version) for r in timeline.snapshot(log, middle).collect()} == {x for x in expected if x[0] == middle}
 
 
+INTERVALS = st.lists(st.tuples(st.sampled_from("ab"), st.integers(1, 2), st.integers(0, 5), st.none() | st.integers(1, 6)).filter(lambda x: x[3] is None or x[2] < x[3]), max_size=6)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(INTERVALS, INTERVALS, st.sets(st.integers(0, 6), min_size=1))
+def test_entries_differ_as_their_snapshots_do(spark, left, right, seqs):
+    sides = [spark.createDataFrame(rows, "path string, version long, live_from long, live_to long") for rows in (left, right)]
+    wanted = spark.createDataFrame([(k,) for k in sorted(seqs)], "seq long")
+    want = timeline.differing_snapshots(*[timeline.in_snapshots(x, 6, wanted) for x in sides])
+    assert {tuple(r) for r in timeline.differing_entries(*sides, wanted).collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_diff_turns_one_snapshot_into_the_other(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "path string, version long")
     b = spark.createDataFrame([("x", 1), ("y", 5), ("w", 4)], "path string, version long")
