@@ -121,7 +121,8 @@ def first_failing(*faults: DataFrame) -> DataFrame:
 def work_bound(ops: DataFrame, introduced: DataFrame, extents: DataFrame) -> DataFrame:
     """seq and the most work that replaying its manifest takes: lookups and changes of catalog rows, probes and
     changes of entries. A sum of fixed costs over operations (seq, op), introductions (seq, kind, dependencies,
-    located) and the extents of introduced versions (seq); it never depends on the catalog."""
+    located) and the extents of introduced versions (seq; n of them in a row, where that column is there); it
+    never depends on the catalog."""
     # Lookups, row changes, probes and entry changes of each item.
     costs = {"put": (1, 1, 5, 1), "delete": (0, 1, 4, 1), "manifest": (0, 1, 0, 0), "chunk": (2, 2, 0, 0), "version": (2, 1, 0, 0), "extent": (1, 1, 0, 0), "row": (0, 1, 0, 0)}
     names = ("catalog_lookups", "catalog_row_mutations", "namespace_probes", "namespace_entry_mutations")
@@ -129,10 +130,12 @@ def work_bound(ops: DataFrame, introduced: DataFrame, extents: DataFrame) -> Dat
     items = items.unionByName(introduced.select("seq", F.col("kind").alias("item"), F.lit(1).cast("long").alias("n")))
     more = F.col("dependencies") + F.when(F.col("located"), 1).otherwise(0)
     items = items.unionByName(introduced.where("kind = 'chunk'").select("seq", F.lit("row").alias("item"), more.cast("long").alias("n")))
-    items = items.unionByName(extents.select("seq", F.lit("extent").alias("item"), F.lit(1).cast("long").alias("n")))
-    items = items.unionByName(items.select("seq").distinct().select("seq", F.lit("manifest").alias("item"), F.lit(1).cast("long").alias("n")))
-    cost = lambda k: reduce(lambda c, x: c.when(F.col("item") == x[0], F.col("n") * x[1][k]), costs.items(), F)
-    return items.groupBy("seq").agg(*[F.coalesce(F.try_sum(cost(k)), F.lit((1 << 63) - 1)).alias(n) for k, n in enumerate(names)])
+    many = F.col("n") if "n" in extents.columns else F.lit(1)
+    items = items.unionByName(extents.select("seq", F.lit("extent").alias("item"), many.cast("long").alias("n")))
+    cost = lambda k: F.coalesce(reduce(lambda c, x: c.when(F.col("item") == x[0], F.col("n") * x[1][k]), costs.items(), F), F.lit(0))
+    # A commit has one manifest, whatever its items.
+    sums = items.groupBy("seq").agg(*[F.try_sum(cost(k)).alias(n) for k, n in enumerate(names)])
+    return sums.select("seq", *[F.coalesce(F.expr(f"try_add({n}, {costs['manifest'][k]}L)"), F.lit((1 << 63) - 1)).alias(n) for k, n in enumerate(names)])
 
 
 def limit_faults(values: DataFrame, limits: dict[str, int]) -> DataFrame:

@@ -157,6 +157,9 @@ def test_introductions_references_and_work(spark):
     items = spark.createDataFrame([(5, "chunk", 2, True), (5, "version", 0, False)], "seq long, kind string, dependencies long, located boolean")
     got = {r.seq: tuple(r)[1:] for r in audit.work_bound(ops, items, spark.createDataFrame([(5,), (5,), (5,)], "seq long")).collect()}
     assert got == {5: (2 * 1 + 2 + 2 + 3, 2 + 1 + (2 + 3) + 1 + 3, 10, 2), 6: (1, 2 + 1, 9, 2)}
+    counted = spark.createDataFrame([(5, 2), (5, 1), (7, (1 << 63) - 1)], "seq long, n long")
+    again = {r.seq: tuple(r)[1:] for r in audit.work_bound(ops, items, counted).collect()}
+    assert again.pop(7) == ((1 << 63) - 1, (1 << 63) - 1, 0, 0) and again == got
 
 
 def test_key_sets(spark):
