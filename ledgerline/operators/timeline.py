@@ -241,17 +241,29 @@ def orphans(entries: DataFrame, gone: DataFrame) -> DataFrame:
     return below.join(gone.select("path").distinct(), "path").groupBy(F.col("path").alias("gone")).agg(F.min("orphan").alias("orphan"))
 
 
-def reachable(entries: DataFrame, extents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Versions that entries name, and chunks that those versions' extents use, each once."""
-    versions = entries.select("version").distinct()
-    return versions, extents.join(versions, "version", "left_semi").where("chunk_id is not null").select("chunk_id").distinct()
+def reachable(entries: DataFrame, extents: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Versions that entries name, and chunks that those versions' extents use, each once; in so many parts by version and chunk."""
+    versions = dealt(entries.select("version"), parts, "version").distinct()
+    return versions, chunks_of(versions, extents, parts).distinct()
 
 
-def closure_faults(entries: DataFrame, versions: DataFrame, extents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """missing, key: versions that entries name and chunks that their extents use, but the catalog does not hold."""
-    named, used = reachable(entries, extents)
-    lost = named.join(versions.select("version"), "version", "left_anti").select(F.lit("version").alias("missing"), F.col("version").cast("string").alias("key"))
-    return lost.unionByName(used.join(chunks.select("chunk_id"), "chunk_id", "left_anti").select(F.lit("chunk").alias("missing"), F.col("chunk_id").cast("string").alias("key")))
+def chunks_of(versions: DataFrame, extents: DataFrame, parts: int | None = None) -> DataFrame:
+    """chunk_id of the extents of versions, as often as they use it."""
+    rows = dealt(extents.where("chunk_id is not null").select("version", "chunk_id"), parts, "version")
+    return dealt(rows.join(versions, "version", "left_semi").select("chunk_id"), parts, "chunk_id")
+
+
+def closure_faults(entries: DataFrame, versions: DataFrame, extents: DataFrame, chunks: DataFrame, parts: int | None = None) -> DataFrame:
+    """missing, key: versions that entries name and chunks that their extents use, but the catalog does not hold.
+
+    Chunks that are used and chunks that are held meet in one aggregation; `parts` as in `dealt`.
+    """
+    named = dealt(entries.where("version is not null").select("version"), parts, "version").distinct()
+    lost = named.join(dealt(versions.select("version"), parts, "version"), "version", "left_anti")
+    both = chunks_of(named, extents, parts).withColumn("held", F.lit(False)).unionByName(dealt(chunks.select("chunk_id"), parts, "chunk_id").withColumn("held", F.lit(True)))
+    gone = both.groupBy("chunk_id").agg(F.max("held").alias("held")).where("not held")
+    tell = lambda rows, missing, key: rows.select(F.lit(missing).alias("missing"), F.col(key).cast("string").alias("key"))
+    return tell(lost, "version", "version").unionByName(tell(gone, "chunk", "chunk_id"))
 
 
 def expanded(ops: DataFrame, before: DataFrame) -> DataFrame:
