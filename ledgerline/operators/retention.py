@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import seen_by
+from .timeline import chunks_of, dealt, seen_by
 
 # Fixed value: why a snapshot can be collected.
 REASON = "expired; not the head; no active hold"
@@ -57,10 +57,21 @@ def roots(seqs: DataFrame, expired: DataFrame, held: DataFrame, head: int) -> Da
     return kept.select("seq").union(held.select("seq").where(F.col("seq") <= head)).union(seqs.where(F.col("seq") == head).select("seq")).distinct()
 
 
-def mark(entries: DataFrame, kept: DataFrame, extents: DataFrame, head: int) -> tuple[DataFrame, DataFrame]:
-    """Versions live in a kept snapshot, and the chunks that they use."""
-    versions = seen_by(entries, head, kept).select("version").distinct()
-    return versions, extents.join(versions, "version", "left_semi").where("chunk_id is not null").select("chunk_id").distinct()
+def mark(entries: DataFrame, kept: DataFrame, extents: DataFrame, head: int, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Versions live in a kept snapshot, and the chunks that they use; in so many parts by version and chunk."""
+    versions = dealt(seen_by(entries, head, kept).select("version"), parts, "version").distinct()
+    return versions, chunks_of(versions, extents, parts).distinct()
+
+
+def collectable(chunks: DataFrame, used: DataFrame, referenced: DataFrame | None = None) -> DataFrame:
+    """chunk_id of the chunks that are not used; with `referenced`, only those that are named there. All meet in one aggregation."""
+    roles = ("held", "used", "named")
+    role = lambda rows, name: rows.select("chunk_id", *[F.lit(r == name).alias(r) for r in roles])
+    rows = role(chunks, "held").unionByName(role(used, "used"))
+    if referenced is not None:
+        rows = rows.unionByName(role(referenced, "named"))
+    met = rows.groupBy("chunk_id").agg(*[F.max(r).alias(r) for r in roles])
+    return met.where("held and not used" + (" and named" if referenced is not None else "")).select("chunk_id")
 
 
 def unsupported(marked: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -96,16 +107,17 @@ class Plan:
     refused: DataFrame  # chunk_id: marked chunks with dependencies; any row refuses the plan
 
 
-def plan(entries: DataFrame, seqs: DataFrame, ops: DataFrame, versions: DataFrame, chunks: DataFrame, extents: DataFrame, dependencies: DataFrame, head: int, streams: bool = False) -> Plan:
-    """The plan at `head`, from the catalog (versions: version; chunks: chunk_id, bytes) and the retention operations."""
+def plan(entries: DataFrame, seqs: DataFrame, ops: DataFrame, versions: DataFrame, chunks: DataFrame, extents: DataFrame, dependencies: DataFrame, head: int, streams: bool = False, parts: int | None = None) -> Plan:
+    """The plan at `head`, from the catalog (versions: version; chunks: chunk_id, bytes) and the retention operations;
+    `parts` as in `timeline.dealt`, of versions, extents and chunks."""
     expired = ops.where("kind = 'expire'").select(F.col("target").alias("seq")).distinct()
     held = holds(ops.withColumn("seq", F.col("target")))
     kept = roots(seqs, expired, held, head)
-    marked, used = mark(entries, kept, extents, head)
-    referenced = extents.where("chunk_id is not null").select("chunk_id") if streams else None
+    marked, used = mark(entries, kept, extents, head, parts)
+    referenced = dealt(extents.where("chunk_id is not null").select("chunk_id"), parts, "chunk_id") if streams else None
+    versions, chunks = dealt(versions.select("version"), parts, "version"), dealt(chunks.select("chunk_id", "bytes"), parts, "chunk_id")
     by_version = totals(marked, versions.select("version").withColumn("bytes", F.lit(0).cast("long")), "version").withColumn("kind", F.lit("version"))
     by_chunk = totals(used, chunks.select("chunk_id", "bytes"), "chunk_id", referenced).withColumn("kind", F.lit("chunk"))
-    rest = chunks.select("chunk_id").join(used, "chunk_id", "left_anti")
     return Plan(
         roots=kept,
         expired=expired,
@@ -113,7 +125,7 @@ def plan(entries: DataFrame, seqs: DataFrame, ops: DataFrame, versions: DataFram
         snapshots=seqs.where(F.col("seq") <= head).select("seq").join(kept, "seq", "left_anti").withColumn("reason", F.lit(REASON)),
         totals=by_version.unionByName(by_chunk),
         versions=versions.select("version").join(marked, "version", "left_anti"),
-        chunks=rest.join(referenced.distinct(), "chunk_id", "left_semi") if streams else rest,
+        chunks=collectable(chunks, used, referenced),
         refused=unsupported(used, dependencies),
     )
 

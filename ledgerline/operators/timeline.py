@@ -93,13 +93,14 @@ def in_snapshots(entries: DataFrame, head: int, wanted: DataFrame | None = None)
 def seen_by(entries: DataFrame, head: int, wanted: DataFrame) -> DataFrame:
     """The entries that are live at any wanted commit up to `head`, each once.
 
-    An entry is, where the first wanted commit from its beginning on lies before its end.
+    An entry is, where the first wanted commit from its beginning on lies before its end; that is a row for each
+    commit, which one task orders and every task gets.
     """
     seqs = entries.sparkSession.range(head + 1).select(F.col("id").alias("live_from"))
     marks = wanted.where(F.col("seq") <= head).select(F.col("seq").alias("live_from"), F.col("seq").alias("at")).distinct()
     ahead = Window.orderBy("live_from").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     following = seqs.join(marks, "live_from", "left").withColumn("_next", F.min("at").over(ahead)).drop("at").where("_next is not null")
-    return entries.join(following, "live_from").where("live_to is null or _next < live_to").drop("_next")
+    return entries.join(F.broadcast(following), "live_from").where("live_to is null or _next < live_to").drop("_next")
 
 
 def counts(entries: DataFrame, head: int) -> DataFrame:

@@ -147,6 +147,13 @@ def test_a_rewrite_keeps_its_snapshots(spark, history, chosen):
     assert timeline.delete_faults(rewritten).count() == 0
 
 
+def test_chunks_to_collect(spark):
+    ids = lambda *x: spark.createDataFrame([(k,) for k in x], "chunk_id long")
+    found = lambda *x: sorted(r.chunk_id for r in retention.collectable(*x).collect())
+    assert found(ids(1, 2, 3, 4), ids(2, 9)) == [1, 3, 4]
+    assert found(ids(1, 2, 3, 4), ids(2, 9), ids(2, 3, 3, 9, 7)) == [3]
+
+
 def test_introductions_references_and_work(spark):
     introduced = spark.createDataFrame([(5, 0, "chunk", 1), (5, 1, "chunk", 1), (6, 0, "chunk", 2), (6, 0, "version", 2), (7, 0, "version", 9)], "seq long, place long, kind string, id long")
     held = spark.createDataFrame([("version", 9), ("chunk", 3)], "kind string, id long")
